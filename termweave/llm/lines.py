@@ -10,20 +10,24 @@ from termweave.llm.util import carry, restore
 BLANKS = " \t\r"
 
 
-def _windows(lines: Column, size: int) -> Column:
-    """For each window of ``size`` lines its position and a hash of 128 bits; windows of blank lines only are left out."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    blank = F.transform(lines, lambda x: F.trim(x, F.lit(BLANKS)) == "")
+def _windows(docs: DataFrame, size: int) -> DataFrame:
+    """d, t, and for each window of ``size`` lines its position and a hash of 128 bits (a, b); windows of blank lines only are left out.
 
-    def one(h, b, i):
-        own = [h[i + k] for k in range(size)]
-        empty = b[i]
-        for k in range(1, size):
-            empty = empty & b[i + k]
-        return F.when(~empty, F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit("second"), *own[::-1]).alias("b"), i.alias("pos")))
+    Each step is a projection of its own: an array that a lambda reads has to be a column, or it is made anew for every element.
+    """
+    lined = docs.select("d", "t", F.split("text", "\n", -1).alias("lines")).where(F.size("lines") >= size)
+    marked = lined.select("d", "t", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.trim(x, F.lit(BLANKS)) == "").alias("blank"))).alias("e"))
+
+    def one(i: Column) -> Column:
+        own = [F.get(F.col("e"), i + k) for k in range(size)]
+        empty = own[0]["blank"]
+        for e in own[1:]:
+            empty = empty & e["blank"]
+        hashes = [e["h"] for e in own]
+        return F.when(~empty, F.struct(F.xxhash64(*hashes).alias("a"), F.xxhash64(F.lit("second"), *hashes[::-1]).alias("b"), i.alias("pos")))
 
-    several = F.size(lines) >= size
-    return F.when(several, F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - size, F.lit(0))), lambda i: one(hashes, blank, i)), lambda w: w.isNotNull()))
+    out = marked.select("d", "t", F.explode(F.transform(F.sequence(F.lit(0), F.size("e") - size), one)).alias("w"))
+    return out.where("w IS NOT NULL").select("d", "t", "w.a", "w.b", "w.pos")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
@@ -42,9 +46,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     minimum, so a window that occurs in a third of all rows costs each map task one row. The texts move once,
     to meet their removals.
     """
-    lines = lambda text: F.split(text, "\n", -1)
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    found = docs.select(id_.alias("d"), F.xxhash64(text).alias("t"), F.explode(_windows(lines(text), window)).alias("w")).select("d", "t", "w.a", "w.b", "w.pos")
+    found = _windows(docs.select(id_.alias("d"), F.xxhash64(text).alias("t"), text.alias("text")), window)
     first = found.groupBy("a", "b").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = found.join(first, ["a", "b"]).where(~F.struct("d", "t", "pos").eqNullSafe(F.col("first")))
     runs = later.groupBy("d", "t").agg(F.sort_array(F.collect_set("pos")).alias("p"))
@@ -56,7 +59,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     base = carry(docs, d=id_, t=F.xxhash64(text), own=text)
     joined = base.join(runs, F.col("d").eqNullSafe(F.col("rd")) & (F.col("t") == F.col("rt")), "left")
-    parts = joined.withColumn("lines", lines(F.col("own")))
+    parts = joined.withColumn("lines", F.split("own", "\n", -1))
     bounds = F.sequence(F.lit(0), F.size("begins"))
     start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("ends"), k - 1))
     stop = lambda k: F.when(k == F.size("begins"), F.size("lines")).otherwise(F.get(F.col("begins"), k))
