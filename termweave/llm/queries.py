@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, jaccard, lines, mixing, pii, topk, urls
+from termweave.llm import bpe, jaccard, lines, mixing, pii, quality, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return df.select(*columns) if columns else df
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "votes", "p_junk", "p_abuse", "score", "keep")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.encode_documents(docs, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -44,4 +49,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_url_filters, op5_exact_top_k, op6_line_dedup, op7_mixing, op8_pii, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_url_filters, op5_exact_top_k, op6_line_dedup, op7_mixing, op8_pii, op10_ngram_jaccard)}
