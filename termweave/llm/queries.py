@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, jaccard, lines, mixing, pii, quality, topk, urls
+from termweave.llm import bpe, jaccard, lines, mixing, pii, quality, suffixes, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -45,8 +45,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_url_filters, op5_exact_top_k, op6_line_dedup, op7_mixing, op8_pii, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_url_filters, op5_exact_top_k, op6_line_dedup, op7_mixing, op8_pii, op9_suffix_dedup, op10_ngram_jaccard)}
