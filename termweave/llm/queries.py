@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, jaccard, lines, mixing, pii, quality, suffixes, topk, urls
+from termweave.llm import bpe, fingerprints, jaccard, lines, mixing, pii, quality, suffixes, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -53,4 +57,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_url_filters, op5_exact_top_k, op6_line_dedup, op7_mixing, op8_pii, op9_suffix_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_url_filters, op4_fingerprints, op5_exact_top_k, op6_line_dedup, op7_mixing, op8_pii, op9_suffix_dedup, op10_ngram_jaccard)}
