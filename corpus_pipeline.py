@@ -3,11 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termweave.llm import bpe, lines, mixing
+from termweave.llm import bpe, jaccard, lines, mixing, quality
 from termweave.llm.util import cut
 
-STAGES: list = []
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("keep").select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated three-line windows go, and documents that lose all their lines by it; n_chars follows the text."""
+    left = lines.dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
+    return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+
+
+def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    return jaccard.first_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate and its hash say."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, checked by decoding: decoded_sha256 is the text's own SHA-256."""
+    return bpe.encode_documents(docs).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
 ORACLE_SQL = None  # fitted models and byte-pair encoding have no SQL
 
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from termweave.llm.util import carry, restore
 
@@ -250,5 +251,5 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = carry(docs, own=F.col(f"`{text_col}`"))
     schema = base.select("_tw_row").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
     return restore(base.mapInArrow(run, schema), docs.columns, **{n: F.col(n) for n in names})

@@ -81,22 +81,22 @@ def _class_of(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), ("low", pa.binary())])
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), ("low", pa.binary()), ("h", pa.int64())])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: set size, class, and its lowest-hashed tokens (the allowed misses, one, and a twentieth more), 48 bits each."""
     for batch in batches:
         rows = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for i, text, h in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
             s = shingles(text)
             n = len(s)
             if not n:
-                rows.append((i, 0, None, None, None))
+                rows.append((i, 0, None, None, None, h))
                 continue
             most = n - _need(n) + 1 + _spare(n)
             low = (s[:most] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((i, n, *_class_of(s), low.tobytes()))
+            rows.append((i, n, *_class_of(s), low.tobytes(), h))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), DIGEST.types, strict=True)] if rows else [pa.array([], t) for t in DIGEST.types], schema=DIGEST)
 
 
@@ -346,7 +346,7 @@ def _resolve(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
+    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text) for every row of ``docs``.
 
     Words are runs of characters other than space and tab to carriage return, with A-Z lower-cased; a
     document's set has its distinct runs of five words, the whole sequence if there are fewer, nothing for
@@ -360,7 +360,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    digest = cut(own.mapInArrow(_digest, "doc_id long, n long, k long, k2 long, low binary"), "digest")
+    hashed = own.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    digest = cut(hashed.mapInArrow(_digest, "doc_id long, n long, k long, k2 long, low binary, h long"), "digest")
     total = digest.agg(F.sum(F.length("low")).alias("b")).first()["b"] or 0
     buckets = max(16, -(-2 * total // BUCKET_BYTES))
     full = digest.where("n > 0")
@@ -383,8 +384,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = cut(by_key(gathered, "root", _resolve, "k long, component long"), "found")
     drop_cut(sets)
     named = classes.join(found, "k", "left").select(F.col("k").alias("ck"), F.col("k2").alias("ck2"), F.coalesce("component", "rep").alias("component_id"))
-    out = digest.select("doc_id", "n", "k", "k2").join(named, (F.col("k") == F.col("ck")) & (F.col("k2") == F.col("ck2")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = digest.select("doc_id", "n", "k", "k2", "h").join(named, (F.col("k") == F.col("ck")) & (F.col("k2") == F.col("ck2")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` less those linked with a document of a smaller id: one document of each component stays.
+
+    Rows without words and rows with a null id stay; rows that repeat id and text are one document.
+    """
+    gone = cut(jaccard_components(docs, id_col, text_col).where("component_id < doc_id").select("doc_id", "text_hash").distinct(), "gone")
+    few = small_enough(gone, BROADCAST_IDS)
+    gone = gone.select(F.col("doc_id").alias("_tw_gone"), F.col("text_hash").alias("_tw_hash"))
+    same = (docs[f"`{id_col}`"] == F.col("_tw_gone")) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col("_tw_hash"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
 def _prefix_with(seen, buckets: int):

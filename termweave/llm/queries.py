@@ -54,7 +54,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = jaccard.jaccard_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_url_filters, op4_fingerprints, op5_exact_top_k, op6_line_dedup, op7_mixing, op8_pii, op9_suffix_dedup, op10_ngram_jaccard)}
