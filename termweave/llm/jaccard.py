@@ -8,10 +8,11 @@ are only probed by binary search (DivideSkip), and documents that reach the requ
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import heapq
+import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,15 @@ from termweave.llm.util import by_key, cut, drop_cut, small_enough
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 #: The count sketch has so many counters, whatever the input.
 SKETCH = 1 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 BROADCAST_IDS = 500_000
+#: Rounds of links against hubs within a group.
+TURNS = 10
+#: Entries that are merged on a heap, at most.
+HEAP = 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -120,7 +125,7 @@ def _by_bucket(tokens: np.ndarray, owners: np.ndarray, buckets: int) -> Iterator
         yield pa.RecordBatch.from_pylist([{"bucket": int(place[a]), "token": tokens[a:b].tobytes(), "owner": owners[a:b].tobytes()}], schema=PACKED)
 
 
-def _low_postings(buckets: int, most: int = 1_500_000):
+def _low_postings(buckets: int, most: int = 800_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, owners, held = [], [], 0
         for batch in batches:
@@ -210,7 +215,7 @@ def _prefix_postings(sketch: bytes, buckets: int):
                 own = prefix(np.frombuffer(raw, "<u8"), counts)
                 tokens.append(own)
                 owners.append(np.full(len(own), k, np.int64))
-            if sum(map(len, tokens)) > 1_500_000:
+            if sum(map(len, tokens)) > 800_000:
                 yield from _by_bucket(np.concatenate(tokens), np.concatenate(owners), buckets)
                 tokens, owners = [], []
         if tokens:
@@ -243,92 +248,101 @@ class _Union:
             self.up[max(x, y)] = min(x, y)
 
 
-def divide_skip(lists: list[list[int]], least: int, after: int, reaches) -> Iterator[int]:
-    """Entries above ``after`` that stand in at least ``least`` of the ascending ``lists`` (each entry once a list) and for which ``reaches(entry, times)`` holds.
+def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that stand in at least ``least`` of the ascending ``lists`` (each entry once a list), and in how many.
 
-    The longest lists, fewer than ``least`` of them, are set aside; the others are merged on a heap. An entry met
-    often enough there is looked up in the long lists by binary search.
+    The longest lists, fewer than ``least`` of them, are set aside; the others are merged on a heap (beyond
+    HEAP entries by numpy's sort of the runs, which gives the same in less time). An entry met often enough
+    there is looked up in the long lists by binary search, as long as it can still reach ``least``.
     """
-    lists = sorted((x for x in lists if x and x[-1] > after), key=len)
+    lists = sorted(lists, key=len)
     if len(lists) < least:
-        return
-    longest = len(lists[-1])
-    aside = min(least - 1, int(least / (0.01 * math.log2(longest + 1) + 1)))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    aside = min(least - 1, int(least / (0.01 * math.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    heap = []
-    for i, own in enumerate(short):
-        at = bisect.bisect_right(own, after)
-        if at < len(own):
-            heap.append((own[at], i, at))
-    heapq.heapify(heap)
-    while heap:
-        entry, times = heap[0][0], 0
-        while heap and heap[0][0] == entry:
-            _, i, at = heap[0]
-            times += 1
-            if at + 1 < len(short[i]):
-                heapq.heapreplace(heap, (short[i][at + 1], i, at + 1))
-            else:
-                heapq.heappop(heap)
-        if times + len(long) >= least:
-            for own in long:
-                at = bisect.bisect_left(own, entry)
-                times += at < len(own) and own[at] == entry
-            if times >= least and reaches(entry, times):
-                yield entry
+    if sum(map(len, short)) <= HEAP:
+        found = [(entry, sum(1 for _ in same)) for entry, same in itertools.groupby(heapq.merge(*[x.tolist() for x in short]))]
+        entries, times = np.array([e for e, _ in found], np.int64), np.array([t for _, t in found], np.int64)
+    else:
+        entries, times = np.unique(np.concatenate(short), return_counts=True)
+    for left in range(len(long), -1, -1):
+        fine = times + left >= least
+        entries, times = entries[fine], times[fine]
+        if left and len(entries):
+            own = long[len(long) - left]
+            times = times + (own[np.minimum(np.searchsorted(own, entries), len(own) - 1)] == entries)
+    return entries, times
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Entries that two ascending arrays share; the shorter is looked up in the longer."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
 
 
 def link_group(sets: list[np.ndarray]) -> list[int]:
     """For each set of a group the first set of its component, by exact links.
 
-    Most links of a family of copies are found against leaders (sets that met no leader like them). A token
-    all of whose sets are joined already can add nothing to the overlap of sets that are not; what is left
-    of the group after that goes through the T-occurrence search, which misses no link.
+    Most links of a family of copies are found against hubs: in each turn sets get ranks by hash, and the set
+    of the highest rank that has a token is its hub. A token all of whose sets are joined already can add
+    nothing to the overlap of sets that are not; sets without enough other tokens are done. What is left goes
+    through the T-occurrence search, which misses no link; sets of the largest component left need not ask, as
+    the other set of any link between components does.
     """
     n = len(sets)
-    union, sizes = _Union(n), [len(s) for s in sets]
-    vocabulary, place = np.unique(np.concatenate(sets), return_inverse=True)
-    ids = np.split(place, np.cumsum(sizes)[:-1])
-    leaders: list[int] = []
-    index: dict[int, list[int]] = {}
-    for x in range(n):
-        got = [j for t in ids[x].tolist() if (own := index.get(t)) is not None for j in own]
-        joined = False
-        if got:
-            for j, times in zip(*np.unique(got, return_counts=True), strict=True):
-                y = leaders[j]
-                if linked(int(times), sizes[x], sizes[y]):
-                    union.join(x, y)
-                    joined = True
-        if not joined:
-            for t in ids[x].tolist():
-                index.setdefault(t, []).append(len(leaders))
-            leaders.append(x)
-    live = np.arange(n)
-    while True:
-        roots = np.array([union.find(x) for x in range(n)])
-        tokens = np.concatenate([ids[x] for x in live]) if len(live) else np.zeros(0, np.int64)
-        owner = np.repeat(live, [sizes[x] for x in live])
-        first = np.full(len(vocabulary), -1, np.int64)
-        first[tokens] = roots[owner]
-        mixed = np.zeros(len(vocabulary), bool)
-        mixed[tokens[first[tokens] != roots[owner]]] = True
-        count = np.bincount(owner[mixed[tokens]], minlength=n)
-        left = np.array([x for x in live if count[x] >= _need(sizes[x])], np.int64)
-        if len(left) == len(live) or len(left) < 2:
+    union, sizes = _Union(n), np.array([len(s) for s in sets])
+    need = np.array([_need(int(k)) for k in sizes])
+    values, place, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = df[place] > 1  # tokens of one set only take no part
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[shared]
+    token = place[shared].astype(np.int32)
+    del values, place, df, shared
+    mixed = None
+    rank = np.arange(n, dtype=np.uint64)
+    for turn in range(TURNS):
+        count = np.bincount(owner, minlength=n)
+        keep = (count >= need)[owner]
+        owner, token = owner[keep], token[keep]
+        live = np.flatnonzero(np.bincount(owner, minlength=n))
+        if len(live) < 2:
             break
-        live = left
-    if len(left) >= 2:
-        order = sorted(left.tolist(), key=lambda x: (sizes[x], x))
-        lists: dict[int, list[int]] = {}
-        for at, x in enumerate(order):
-            for t in ids[x][mixed[ids[x]]].tolist():
-                lists.setdefault(t, []).append(at)
-        for at, x in enumerate(order):
-            own = [lists[t] for t in ids[x][mixed[ids[x]]].tolist()]
-            # entries after this one are at least as large; the overlap with one of size m is at least its need
-            for y in divide_skip(own, _need(sizes[x]), at, lambda y, times, x=x: linked(times, sizes[x], sizes[order[y]])):
-                union.join(x, order[y])
+        rank = (rank + np.uint64(1)) * _A
+        rank ^= rank >> np.uint64(32)
+        by_rank = np.argsort(np.argsort(rank, kind="stable"), kind="stable")
+        best = np.full(token.max() + 1, -1, np.int64)
+        np.maximum.at(best, token, by_rank[owner])
+        hub = np.argsort(by_rank, kind="stable")[np.maximum(best, 0)]
+        pair, times = np.unique(owner.astype(np.int64) * n + hub[token], return_counts=True)
+        for p, t in zip(pair.tolist(), times.tolist(), strict=True):
+            x, y = divmod(p, n)
+            if x != y and 4 * t >= need[x] and union.find(x) != union.find(y) and linked(_overlap(sets[x], sets[y]), int(sizes[x]), int(sizes[y])):
+                union.join(x, y)
+        roots = np.array([union.find(x) for x in range(n)], np.int32)
+        low, high = np.full(len(hub), n, np.int32), np.full(len(hub), -1, np.int32)
+        np.minimum.at(low, token, roots[owner])
+        np.maximum.at(high, token, roots[owner])
+        mixed = low < high
+        keep = mixed[token]
+        owner, token = owner[keep], token[keep]
+    count = np.bincount(owner, minlength=n)
+    order = np.flatnonzero((count >= need) & (count > 0)).tolist()
+    if len(order) >= 2:
+        keep = (count >= need)[owner]
+        owner, token = owner[keep], token[keep]
+        cuts = np.searchsorted(owner, np.arange(n + 1))  # owners are in ascending order throughout
+        by_token = np.argsort(token, kind="stable")
+        lists, first = owner[by_token], np.searchsorted(token[by_token], np.arange(int(token.max()) + 2))
+        roots = [union.find(x) for x in order]
+        largest = Counter(roots).most_common(1)[0][0]
+        for x, root in zip(order, roots, strict=True):
+            if root != largest:
+                own = [lists[first[t] : first[t + 1]] for t in token[cuts[x] : cuts[x + 1]].tolist()]
+                for y, times in zip(*divide_skip(own, int(need[x])), strict=True):
+                    if y != x and linked(int(times), int(sizes[x]), int(sizes[y])):
+                        union.join(x, int(y))
     return [union.find(x) for x in range(n)]
 
 
