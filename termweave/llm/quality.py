@@ -71,8 +71,8 @@ class Describer(dict):
     def _shape(form: str) -> int:
         return _HALF + zlib.crc32(_RUNS.sub(r"\1", form).encode()) % _HALF
 
-    def __call__(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """The labellers' votes (FORM of them on form, then TONE on tone) and the scorer's features: slots and values."""
+    def __call__(self, text: str | None, features: bool = True) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The labellers' votes (FORM of them on form, then TONE on tone) and, if asked for, the scorer's features: slots and values."""
         tokens = (text or "").split()
         n = len(tokens)
         if not n:
@@ -93,10 +93,7 @@ class Describer(dict):
             many["in runs"] += int(runs[runs >= 3].sum())
             many["most"] = max(many["most"], int(counts.max()))
             kinds = self.slots[own[(facts[:, 5] + facts[:, 6]) > 0], 0]
-            slots.append((self.slots[own], counts, kinds))
-        words = np.unique(np.concatenate([s[:, 0] for s, _, _ in slots]))
-        shapes, place = np.unique(np.concatenate([s[:, 1] for s, _, _ in slots]), return_inverse=True)
-        shares = np.bincount(place, np.concatenate([c for _, c, _ in slots])) * (4.0 / n)
+            slots.append((self.slots[own] if features else None, counts, kinds))
         kinds = len(np.unique(np.concatenate([k for *_, k in slots])))
         letters, capitals, odd, plain, stops, known, learnt = sums
         both = known + learnt
@@ -116,6 +113,11 @@ class Describer(dict):
             _vote(1000 * both / n, 0, 4),
             _vote(kinds, 0, 2),
         ]
+        if not features:
+            return votes, np.zeros(0, np.int64), np.zeros(0)
+        words = np.unique(np.concatenate([s[:, 0] for s, _, _ in slots]))
+        shapes, place = np.unique(np.concatenate([s[:, 1] for s, _, _ in slots]), return_inverse=True)
+        shares = np.bincount(place, np.concatenate([c for _, c, _ in slots])) * (4.0 / n)
         at = np.concatenate([words, shapes, (1 << BITS) + np.arange(3)])
         return votes, at, np.concatenate([np.ones(len(words)), shares, np.minimum(1.0, [4 * same, 4 * odd, 2 * upper])])
 
@@ -214,7 +216,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describe = describer(mined)
         for batch in batches:
-            out = ["".join(map(str, describe(t)[0])) for t in batch.column(0).to_pylist()]
+            out = ["".join(map(str, describe(t, features=False)[0])) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], names=["votes", "h"])
 
     hashed = own.select("text", F.xxhash64("doc_id", "text").alias("h"))
