@@ -119,9 +119,16 @@ def script_ranges() -> dict[str, str]:
 
 
 def scripts(col: Column) -> Column:
-    """Scripts of the letters, by code; [Zyyy] if there are none."""
-    found = F.array_compact(F.array(*[F.when(col.rlike(cls), F.lit(s)) for s, cls in sorted(script_ranges().items())]))
-    return F.when(F.size(found) == 0, F.array(F.lit("Zyyy"))).otherwise(found)
+    """Scripts of the letters, by code; [Zyyy] if there are none.
+
+    The long character classes see only the distinct characters beyond ASCII.
+    """
+    odd = F.array_join(F.array_distinct(F.regexp_extract_all(col, F.lit(r"([^\x00-\x7F])"), F.lit(1))), "")
+    plain = col.rlike("[A-Za-z]")
+    tests = [F.when((plain | odd.rlike(cls)) if s == "Latn" else odd.rlike(cls), F.lit(s)) for s, cls in sorted(script_ranges().items())]
+    ascii_only = F.array(F.when(plain, "Latn").otherwise("Zyyy"))
+    found = F.array_compact(F.array(*tests))
+    return F.when(~col.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(F.when(F.size(found) == 0, F.array(F.lit("Zyyy"))).otherwise(found))
 
 
 def language(script_list: Column, locale: Column) -> Column:

@@ -1,7 +1,247 @@
-"""Queries of the review engine and the SQL whose rows they must equal."""
+"""Queries of the review engine and the DuckDB SQL whose rows they must equal."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from termweave.functions import ids, phonetics, text
+from termweave.operators import benchmark, detect, retrieve
+from termweave.plans import evaluate, match
+from termweave.sources import audit, terms
+
+TOK = text.TOKEN.replace("'", "''")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text").withColumn("t", text.normalize_text(F.col("text")))
+    return docs.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+
+
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text").withColumn("w", text.tokens(F.col("text")))
+    total = lambda field: F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x[field])
+    return docs.select("doc_id", F.size("w").cast("long").alias("n_tokens"), total("start").alias("starts"), total("end").alias("ends"))
+
+
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), "text")
+    rows = detect.windows(match.requests_of(turns))
+    return rows.groupBy(F.col("width").cast("long").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("char_start").cast("long")).alias("starts"), F.sum(F.length("span_text").cast("long")).alias("chars"))
+
+
+def document_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.array_join(text.scripts(F.col("text")), "+").alias("script"))
+
+
+def _orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    return parts.select("p_partkey", F.concat(F.lit("Take "), "p_size", F.lit(" MG of "), "p_name", F.lit(" PO tablet or "), "p_size", F.lit(".5ml iv, then "), "p_size", F.lit(" mg.")).alias("text"))
+
+
+def medication_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _orders_text(spark, sf_dir).withColumn("m", text.medication_fields(F.col("text")))
+    return rows.select("p_partkey", F.array_join("m.strengths", "|").alias("strengths"), F.array_join("m.routes", "|").alias("routes"), F.array_join("m.dosage_forms", "|").alias("forms"), text.strip_structured(F.col("text")).alias("stripped"))
+
+
+def spelled_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", phonetics.spelled(text.normalize_term(F.col("p_name"))).alias("sound"))
+
+
+def name_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "part", "p_name").distinct()
+    types = _table(spark, sf_dir, "part", "p_type").distinct()
+    a, b = F.lower("p_name"), F.lower("p_type")
+    pairs = names.join(types, F.substring("p_name", 1, 1) == F.lower(F.substring("p_type", 1, 1)))
+    x, y = phonetics.ngrams(a), phonetics.ngrams(b)
+    return pairs.select("p_name", "p_type", F.size(F.array_intersect(x, y)).cast("long").alias("shared"), F.size(F.array_union(x, y)).cast("long").alias("all_grams"), F.levenshtein(a, b).cast("long").alias("edits"), phonetics.edit_similarity(a, b).alias("similarity"))
+
+
+def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "part", "p_name").distinct().select(text.normalize_term(F.col("p_name")).alias("alias")).distinct()
+    rows = _table(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", text.normalize_term(F.upper("p_name")).alias("alias"))
+    return rows.join(names, "alias").groupBy("alias").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"))
+
+
+def gram_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "part", "p_name").distinct()
+    grams = names.select("p_name", F.explode(phonetics.ngrams(F.col("p_name"))).alias("gram"))
+    other = grams.withColumnRenamed("p_name", "other")
+    hits = grams.join(other, "gram").where("p_name <> other").groupBy("p_name", "other").agg(F.count(F.lit(1)).alias("hits"))
+    rank = F.row_number().over(Window.partitionBy("p_name").orderBy(F.desc("hits"), "other"))
+    return hits.withColumn("rank", rank.cast("long")).where("rank <= 5")
+
+
+def token_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("w", text.tokens(F.col("text")))
+    heard = F.filter(F.transform("w", lambda w, i: F.when(i % 2 == 0, F.struct(w["text"].alias("text"), w["start"].alias("char_start"), w["end"].alias("char_end"), (w["start"] % 10 / 10.0).cast("double").alias("confidence")))), lambda h: h.isNotNull())
+    rows = turns.withColumn("heard", heard)
+    values = F.transform(detect.token_confidences(F.col("w"), F.col("heard")), lambda c: F.round(c * 1000).cast("long"))
+    return rows.select("conv_id", "turn", F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x).alias("confidence"))
+
+
+def nbest_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    next_ = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = turns.select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.regexp_extract("text", f"({text.TOKEN})", 1).alias("word"), F.array_compact(F.array(F.when(next_.isNotNull(), F.struct(next_.alias("text"))))).alias("n_best"))
+    spans = rows.select("request_id", text.normalize_term(F.col("word")).alias("exact_key"))
+    return detect.disagreement(spans, rows).select("request_id", F.col("nbest_disagreement").cast("long").alias("missing"))
+
+
+def release_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    fields = [F.col("p_partkey") % 97, F.when(F.col("p_size") == 7, "SPA").otherwise("ENG"), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.when(F.col("p_size") % 5 == 0, "Y").otherwise("N"), *[F.lit("")] * 4, F.lit("RXNORM"), F.when(F.col("p_size") == 9, "XX").otherwise("IN"), F.lit(""), F.col("p_name"), F.lit(""), F.when(F.col("p_size") == 11, "O").otherwise("N"), F.lit(""), F.lit("")]
+    lines = p.select(F.col("p_partkey").alias("line"), F.concat_ws("|", *[f.cast("string") for f in fields]).alias("value"))
+    return terms.release_terms(lines).select("concept_id", "term", F.array_join("aliases", "|").alias("aliases"), F.col("line").alias("first_line"))
+
+
+def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "lang", "n_chars").join(_table(spark, sf_dir, "labels"), "doc_id")
+    hit, truth = F.col("n_chars") >= 1000, F.col("quality") == 1
+    counts = docs.groupBy("lang").agg(F.count(F.when(hit & truth, 1)).alias("tp"), F.count(F.when(hit, 1)).alias("predicted"), F.count(F.when(truth, 1)).alias("gold"))
+    return counts.select("*", (2 * F.col("tp") / (F.col("predicted") + F.col("gold"))).alias("f1"))
+
+
+def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "benchmark", "item_id", "text").withColumn("ref", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    heard = F.array_join(F.filter(F.split("ref", " "), lambda w, i: i % 5 != 4), " ")
+    edits, words = evaluate.word_errors(F.col("ref"), heard)
+    return rows.select("item_id", edits.cast("long").alias("word_edits"), words.cast("long").alias("words"), F.levenshtein(F.col("ref"), heard).cast("long").alias("char_edits"))
+
+
+def audit_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    stored = events.select(F.col("user_id").cast("string").alias("request_id"), F.col("ts").alias("created_at"), "event_id", "event_type")
+    return audit.latest(stored, ["created_at", "event_id"]).select("request_id", "event_id", "event_type")
+
+
+def audit_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    matches = audit.latest(events.select(F.col("user_id").cast("string").alias("request_id"), F.col("ts").alias("created_at"), F.col("event_id").cast("string").alias("payload_json")))
+    reviews = events.where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("request_id"), F.col("event_type").alias("action"), F.col("event_id").alias("review_id"), F.col("ts").alias("created_at"))
+    lines = audit.export(matches, reviews)
+    return lines.groupBy("request_id").agg(F.count(F.lit(1)).alias("lines"), F.count("reviewed_at").alias("reviewed"), F.sum(F.coalesce(F.get_json_object("line", "$.review.review_id").cast("long"), F.lit(0))).alias("reviews"))
+
+
+def span_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("w", F.get(text.tokens(F.col("text")), F.lit(4))).where("w IS NOT NULL")
+    begin = F.greatest(F.lit(0), F.col("w.start") - match.CONTEXT)
+    return turns.select("conv_id", "turn", F.md5(F.substring(F.col("text"), begin + 1, F.least(F.length("text"), F.col("w.end") + match.CONTEXT) - begin)).alias("context"))
+
+
+def span_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    return turns.select("conv_id", "turn", ids.uuid5(F.lit(ids.URL_NAMESPACE), F.concat_ws(":", F.col("turn").cast("string"), F.length("text").cast("string"))).alias("id"))
+
+
+def damaged_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "part", "p_name").distinct()
+    made = benchmark.damaged(F.col("p_name"), F.lit("x"), F.lit("ж"))
+    return names.select("p_name", *[c.alias(k) for k, c in made.items()])
+
+
+def dictionary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([("Coumadin",), ("metforman",), ("blood count",), ("",)], "query string")
+    return retrieve.search(asked, terms.bundled_dictionary(spark), 5).select("query", "rank", "concept_id", "term", "similarity")
+
+
+REQUESTS = [
+    ("dose", "The patient takes met for men 500 mg with breakfast.", "en-US"),
+    ("right", "Continue metformin daily.", "en-US"),
+    ("spelling", "The note says amoxycillin for seven days.", "en-US"),
+    ("scripts", "Review metформин before discharge.", None),
+]
+
+
+def match_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("request_id"), "text", F.lit("en").alias("locale"))
+    requests = match.requests_of(turns.unionByName(spark.createDataFrame(REQUESTS, "request_id string, text string, locale string")))
+    found = match.match(requests, terms.bundled_dictionary(spark))
+    best = F.get("candidates", F.lit(0))
+    return found.select("request_id", "span_id", "span_text", "char_start", "char_end", "normalized_span", "decision", F.array_join("decision_reason", ",").alias("reasons"), best["concept_id"].alias("concept_id"), best["score"].alias("score"), F.col("evidence.risk_score").alias("risk_score"))
+
+
 FLAGSHIP = "match_flagship"
+QUERIES = {
+    f.__name__: f
+    for f in (
+        match_flagship, dictionary_search, normalize_documents, token_offsets, window_counts, document_scripts, medication_fields, spelled_sounds, name_likeness, exact_lookup, gram_retrieval,
+        token_confidence, nbest_disagreement, release_import, detection_metrics, word_error_rate, audit_latest, audit_export, span_context, span_ids, damaged_names,
+    )
+}
+
+_NORM = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+def _norm(x: str) -> str:
+    folded = f"replace(lower(nfc_normalize(replace(replace(replace({x}, '’', ''''), '–', '-'), '—', '-'))), 'ß', 'ss')"
+    return _NORM.format(folded)
+
+
+def _term(x: str) -> str:
+    return _NORM.format(f"regexp_replace({_norm(x)}, '[^\\p{{L}}\\p{{N}}_\\s''\\-]', ' ', 'g')")
+
+
+_TOKENS = f"""p AS (SELECT *, regexp_extract_all(text, '(?s)(.*?)({TOK})', 1) AS g, regexp_extract_all(text, '(?s)(.*?)({TOK})', 2) AS t FROM src),
+u AS (SELECT * EXCLUDE (g, t), unnest(g) AS g, unnest(t) AS t, unnest(range(1, len(t) + 1)) AS i FROM p),
+o AS (SELECT *, (sum(length(g) + length(t)) OVER w - length(t))::BIGINT AS s, (sum(length(g) + length(t)) OVER w)::BIGINT AS e FROM u WINDOW w AS (PARTITION BY id ORDER BY i))"""
+
+
+def _sound(x: str) -> str:
+    for pattern, put in phonetics.SPELLING:
+        if "(?=" in pattern:
+            x = f"regexp_replace({x}, '{pattern[0]}([eiy])', '{put}\\1', 'g')"
+        else:
+            x = f"replace({x}, '{pattern}', '{put}')"
+    return f"regexp_replace({x}, '[^a-zɑ-ʒθðŋɹ]+', '', 'g')"
+
+
+def _grams(x: str) -> str:
+    return f"(CASE WHEN length({x}) < 2 THEN ['^' || {x} || '$'] ELSE list_distinct(list_transform(range(1, length({x}) + 1), lambda i: substring('^' || {x} || '$', i, 3))) END)"
+
+
+def _scripts_sql() -> str:
+    cases = ", ".join(f"CASE WHEN regexp_matches(text, '{cls}') THEN '{s}' END" for s, cls in sorted(text.script_ranges().items()))
+    return f"SELECT doc_id, coalesce(nullif(concat_ws('+', {cases}), ''), 'Zyyy') AS script FROM documents"
+
+
+_DAMAGE = """WITH n AS (SELECT DISTINCT p_name FROM part), u AS (SELECT p_name, string_split(p_name, '') AS u FROM n),
+m AS (SELECT p_name, u, list_filter(range(1, len(u) + 1), lambda i: u[i] <> ' ') AS pl FROM u),
+k AS (SELECT p_name, pl[len(pl) // 2 + 1] AS m, pl[len(pl) // 2] AS b FROM m)
+SELECT p_name, substring(p_name, 1, m - 1) || substring(p_name, m + 1) AS deletion,
+ substring(p_name, 1, b - 1) || substring(p_name, b + 1, 1) || substring(p_name, b, 1) || substring(p_name, b + 2) AS transposition,
+ substring(p_name, 1, m - 1) || ' ' || substring(p_name, m) AS asr_boundary,
+ substring(p_name, 1, m - 1) || CASE WHEN lower(substring(p_name, m, 1)) = 'x' THEN 'xx' ELSE 'x' END || substring(p_name, m + 1) AS substitution,
+ substring(p_name, 1, m - 1) || 'ж' || substring(p_name, m + 1) AS script_confusion FROM k"""
+
+ORACLE_SQL = {
+    "normalize_documents": f"SELECT doc_id, length(t)::BIGINT AS n, md5(t) AS digest FROM (SELECT doc_id, {_norm('text')} AS t FROM documents)",
+    "token_offsets": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_TOKENS} SELECT d.doc_id, count(o.i)::BIGINT AS n_tokens, coalesce(sum(s), 0)::BIGINT AS starts, coalesce(sum(e), 0)::BIGINT AS ends FROM documents d LEFT JOIN o ON o.id = d.doc_id GROUP BY 1",
+    "window_counts": f"WITH src AS (SELECT conv_id || ':' || turn AS id, text FROM conversations), {_TOKENS}, w AS (SELECT a.id, a.s, b.e, b.i - a.i + 1 AS width FROM o a JOIN o b ON a.id = b.id AND b.i BETWEEN a.i AND a.i + 4) SELECT width::BIGINT AS width, count(*) AS n, sum(s)::BIGINT AS starts, sum(e - s)::BIGINT AS chars FROM w GROUP BY 1",
+    "medication_fields": r"""WITH t AS (SELECT p_partkey, 'Take ' || p_size || ' MG of ' || p_name || ' PO tablet or ' || p_size || '.5ml iv, then ' || p_size || ' mg.' AS text, p_size, p_name FROM part)
+SELECT p_partkey, p_size || 'mg|' || p_size || '.5ml' AS strengths, 'iv|po' AS routes, 'tablet' AS forms, 'take of ' || lower(p_name) || ' or then' AS stripped FROM t""",
+    "spelled_sounds": f"SELECT p_partkey, {_sound(f'''replace({_term('p_name')}, ' ', '')''')} AS sound FROM part",
+    "name_likeness": f"WITH n AS (SELECT DISTINCT p_name FROM part), t AS (SELECT DISTINCT p_type FROM part), p AS (SELECT p_name, p_type, lower(p_name) AS a, lower(p_type) AS b FROM n JOIN t ON substring(p_name, 1, 1) = lower(substring(p_type, 1, 1))), g AS (SELECT *, {_grams('a')} AS x, {_grams('b')} AS y FROM p) SELECT p_name, p_type, len(list_intersect(x, y))::BIGINT AS shared, (len(x) + len(y) - len(list_intersect(x, y)))::BIGINT AS all_grams, levenshtein(a, b)::BIGINT AS edits, CASE WHEN a = b THEN 1.0 ELSE 1.0 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END AS similarity FROM g",
+    "exact_lookup": f"SELECT {_term('p_name')} AS alias, count(*) AS n, sum(p_partkey)::BIGINT AS keys FROM part GROUP BY 1",
+    "gram_retrieval": f"WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, unnest({_grams('p_name')}) AS gram FROM n), h AS (SELECT a.p_name, b.p_name AS other, count(*) AS hits FROM g a JOIN g b ON a.gram = b.gram AND a.p_name <> b.p_name GROUP BY 1, 2) SELECT p_name, other, hits, row_number() OVER (PARTITION BY p_name ORDER BY hits DESC, other) AS rank FROM h QUALIFY rank <= 5",
+    "token_confidence": f"WITH src AS (SELECT conv_id, turn, conv_id || ':' || turn AS id, text FROM conversations), {_TOKENS} SELECT c.conv_id, c.turn, coalesce(sum(CASE WHEN i % 2 = 1 THEN s % 10 * 100 ELSE 1000 END), 0)::BIGINT AS confidence FROM conversations c LEFT JOIN o ON o.conv_id = c.conv_id AND o.turn = c.turn GROUP BY 1, 2",
+    "nbest_disagreement": f"WITH c AS (SELECT conv_id || ':' || turn AS request_id, regexp_extract(text, '({TOK})', 1) AS word, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) SELECT request_id, CASE WHEN nx IS NULL THEN 0 WHEN contains({_term('nx')}, {_term('word')}) THEN 0 ELSE 1 END::BIGINT AS missing FROM c",
+    "release_import": """WITH r AS (SELECT p_partkey % 97 AS c, p_partkey AS line, p_name, p_size % 5 = 0 AS pref FROM part WHERE p_size NOT IN (7, 9, 11) AND trim(p_name) <> ''),
+t AS (SELECT c, min(line) AS first_line, arg_min(p_name, (CASE WHEN pref THEN 0 ELSE 1 END) * 1000000000 + line) AS term FROM r GROUP BY c),
+a AS (SELECT r.c, p_name, min(line) AS l FROM r JOIN t ON r.c = t.c AND p_name <> term GROUP BY 1, 2), s AS (SELECT c, string_agg(p_name, '|' ORDER BY l) AS aliases FROM a GROUP BY 1)
+SELECT 'RxCUI:' || t.c AS concept_id, term, coalesce(aliases, '') AS aliases, first_line FROM t LEFT JOIN s USING (c)""",
+    "detection_metrics": "SELECT *, 2 * tp / (predicted + gold)::DOUBLE AS f1 FROM (SELECT lang, count(*) FILTER (n_chars >= 1000 AND quality = 1) AS tp, count(*) FILTER (n_chars >= 1000) AS predicted, count(*) FILTER (quality = 1) AS gold FROM documents JOIN labels USING (doc_id) GROUP BY lang)",
+    "word_error_rate": r"""WITH r AS (SELECT item_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM benchmark), g AS (SELECT item_id, w, list_filter(range(1, len(w) + 1), lambda i: i % 5 = 0) AS gone FROM r)
+SELECT item_id, len(gone)::BIGINT AS word_edits, len(w)::BIGINT AS words, coalesce(list_sum(list_transform(gone, lambda i: length(w[i]) + 1)), 0)::BIGINT AS char_edits FROM g""",
+    "audit_latest": "SELECT user_id::VARCHAR AS request_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "audit_export": "WITH m AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, event_id FROM events WHERE event_id % 3 = 0) SELECT m.user_id::VARCHAR AS request_id, count(*) AS lines, count(event_id) AS reviewed, coalesce(sum(event_id), 0)::BIGINT AS reviews FROM m LEFT JOIN r USING (user_id) GROUP BY 1",
+    "span_context": f"WITH src AS (SELECT conv_id, turn, conv_id || ':' || turn AS id, text FROM conversations), {_TOKENS} SELECT c.conv_id, c.turn, md5(substring(c.text, greatest(0, s - 80) + 1, least(length(c.text), e + 80) - greatest(0, s - 80))) AS context FROM conversations c JOIN o ON o.conv_id = c.conv_id AND o.turn = c.turn AND o.i = 5",
+    "span_ids": f"WITH h AS (SELECT conv_id, turn, sha1(unhex('{ids.URL_NAMESPACE.replace('-', '')}') || encode(turn || ':' || length(text))) AS h FROM conversations) SELECT conv_id, turn, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || substring('89ab', (strpos('0123456789abcdef', substring(h, 17, 1)) - 1) % 4 + 1, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS id FROM h",
+    "damaged_names": _DAMAGE,
+    "document_scripts": _scripts_sql(),
+}
