@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm.components import connected
-from termweave.llm.util import by_key, cut, drop_cut, small_enough
+from termweave.llm.util import by_key, cut, drop_cut, small_enough, tidy
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 80 * union.
@@ -73,7 +73,7 @@ def _need(n: int) -> int:
 
 
 def _spare(n: int) -> int:
-    return n // 20
+    return n // 5
 
 
 def linked(overlap: int, n: int, m: int) -> bool:
@@ -90,7 +90,7 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.int64())
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: set size, class, and its lowest-hashed tokens (the allowed misses, one, and a twentieth more), 48 bits each."""
+    """Per document: set size, class, and its lowest-hashed tokens (the allowed misses, one, and a fifth more), 48 bits each."""
     for batch in batches:
         rows = []
         for i, text, h in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
@@ -105,11 +105,22 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), DIGEST.types, strict=True)] if rows else [pa.array([], t) for t in DIGEST.types], schema=DIGEST)
 
 
-PACKED = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("owner", pa.binary())])
-PACKED_SQL = "bucket int, token binary, owner binary"
+PACKED = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("which", pa.binary()), ("owner", pa.binary())])
+PACKED_SQL = "bucket int, token binary, which binary, owner binary"
 
 
-def _by_bucket(tokens: np.ndarray, owners: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _bytes(tokens: np.ndarray, wide: int) -> bytes:
+    """The lowest ``wide`` bytes of each token."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+
+
+def _tokens(raw: bytes, wide: int) -> np.ndarray:
+    out = np.zeros((len(raw) // wide, 8), np.uint8)
+    out[:, :wide] = np.frombuffer(raw, np.uint8).reshape(-1, wide)
+    return out.view("<u8").ravel()
+
+
+def _by_bucket(tokens: np.ndarray, owners: np.ndarray, buckets: int, wide: int) -> Iterator[pa.RecordBatch]:
     """Distinct (token, owner) pairs of a map task as one row for each bucket."""
     if not len(tokens):
         return
@@ -122,7 +133,9 @@ def _by_bucket(tokens: np.ndarray, owners: np.ndarray, buckets: int) -> Iterator
     place, tokens, owners = place[order], tokens[order], owners[order]
     cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield pa.RecordBatch.from_pylist([{"bucket": int(place[a]), "token": tokens[a:b].tobytes(), "owner": owners[a:b].tobytes()}], schema=PACKED)
+        names, which = np.unique(owners[a:b], return_inverse=True)
+        size = 2 if len(names) <= 1 << 16 else 4  # a place in the row's own list of owners takes less than an owner
+        yield pa.RecordBatch.from_pylist([{"bucket": int(place[a]), "token": _bytes(tokens[a:b], wide), "which": which.astype(f"<u{size}").tobytes(), "owner": names.tobytes()}], schema=PACKED)
 
 
 def _low_postings(buckets: int, most: int = 800_000):
@@ -130,25 +143,26 @@ def _low_postings(buckets: int, most: int = 800_000):
         tokens, owners, held = [], [], 0
         for batch in batches:
             for k, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = np.frombuffer(low, np.uint8).reshape(-1, 6)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, :6] = raw
-                tokens.append(wide.view("<u8").ravel())
-                owners.append(np.full(len(raw), k, np.int64))
-                held += len(raw)
+                own = _tokens(low, 6)
+                tokens.append(own)
+                owners.append(np.full(len(own), k, np.int64))
+                held += len(own)
                 if held >= most:
-                    yield from _by_bucket(np.concatenate(tokens), np.concatenate(owners), buckets)
+                    yield from _by_bucket(np.concatenate(tokens), np.concatenate(owners), buckets, 6)
                     tokens, owners, held = [], [], 0
         if held:
-            yield from _by_bucket(np.concatenate(tokens), np.concatenate(owners), buckets)
+            yield from _by_bucket(np.concatenate(tokens), np.concatenate(owners), buckets, 6)
 
     return run
 
 
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gathered(table: pa.Table, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (token, owner) pairs of a bucket, in order, and the bounds of each token's run."""
-    tokens = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("token").to_pylist()])
-    owners = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("owner").to_pylist()])
+    parts = [_tokens(x, wide) for x in table.column("token").to_pylist()]
+    which = [np.frombuffer(x, f"<u{len(x) // len(t)}") for x, t in zip(table.column("which").to_pylist(), parts, strict=True)]
+    owners = np.concatenate([np.frombuffer(x, "<i8")[w] for x, w in zip(table.column("owner").to_pylist(), which, strict=True)])
+    tokens = np.concatenate(parts)
+    del parts, which
     order = np.lexsort((owners, tokens))
     tokens, owners = tokens[order], owners[order]
     new = np.r_[True, (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])]
@@ -158,7 +172,7 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _recurring(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
     """For each class, how many of its tokens in this bucket stand in another class as well."""
-    _, owners, cuts = _gathered(table)
+    _, owners, cuts = _gathered(table, 6)
     sizes = np.diff(cuts)
     k, c = np.unique(owners[np.repeat(sizes > 1, sizes)], return_counts=True)
     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"])
@@ -216,17 +230,17 @@ def _prefix_postings(sketch: bytes, buckets: int):
                 tokens.append(own)
                 owners.append(np.full(len(own), k, np.int64))
             if sum(map(len, tokens)) > 800_000:
-                yield from _by_bucket(np.concatenate(tokens), np.concatenate(owners), buckets)
+                yield from _by_bucket(np.concatenate(tokens), np.concatenate(owners), buckets, 8)
                 tokens, owners = [], []
         if tokens:
-            yield from _by_bucket(np.concatenate(tokens), np.concatenate(owners), buckets)
+            yield from _by_bucket(np.concatenate(tokens), np.concatenate(owners), buckets, 8)
 
     return run
 
 
 def _stars(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Each token's classes tied to the first of them: as many ties as postings, never all pairs."""
-    _, owners, cuts = _gathered(table)
+    _, owners, cuts = _gathered(table, 8)
     sizes = np.diff(cuts)
     hub = np.repeat(owners[cuts[:-1]], sizes)
     tie = np.unique(np.stack([hub, owners])[:, hub != owners], axis=1)
@@ -378,12 +392,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     digest = cut(hashed.mapInArrow(_digest, "doc_id long, n long, k long, k2 long, low binary, h long"), "digest")
     total = digest.agg(F.sum(F.length("low")).alias("b")).first()["b"] or 0
     buckets = max(16, -(-2 * total // BUCKET_BYTES))
+    rows = cut(digest.drop("low"), "rows")  # what is needed to the end; the wide table goes before
     full = digest.where("n > 0")
     classes = full.groupBy("k", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     counts = by_key(full.select("k", "low").mapInArrow(_low_postings(buckets), PACKED_SQL), "bucket", _recurring, "k long, c long")
-    enough = 1 + F.floor(F.ceil(F.col("n") * NUM / DEN) / 20)
+    enough = 1 + F.floor(F.ceil(F.col("n") * NUM / DEN) / 5)
     likely = counts.groupBy("k").agg(F.sum("c").alias("c")).join(classes, "k").where(F.col("c") >= enough)
     likely = cut(likely.select("k", F.col("rep").alias("rep")), "likely")
+    classes = rows.where("n > 0").groupBy("k", "k2").agg(F.min("doc_id").alias("rep"))
+    drop_cut(digest)
+    del digest, full, counts
+    tidy(spark)
     few = small_enough(likely, BROADCAST_IDS)
     met = own.join(F.broadcast(likely) if few else likely, own["doc_id"].eqNullSafe(likely["rep"]))
     sets = cut(met.select("doc_id", "text", "k").mapInArrow(_sets, "doc_id long, k long, tokens binary"), "sets")
@@ -394,11 +413,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = spark.sparkContext.broadcast(sketch)
     ties = by_key(sets.select("k", "tokens").mapInArrow(_prefix_with(seen, buckets), PACKED_SQL), "bucket", _stars, "a long, b long")
     groups = cut(connected(ties), "groups")
+    del ties, parts
+    tidy(spark)
     gathered = sets.join(groups, sets["k"] == groups["node"]).select("root", "doc_id", "k", "tokens")
     found = cut(by_key(gathered, "root", _resolve, "k long, component long"), "found")
     drop_cut(sets)
     named = classes.join(found, "k", "left").select(F.col("k").alias("ck"), F.col("k2").alias("ck2"), F.coalesce("component", "rep").alias("component_id"))
-    out = digest.select("doc_id", "n", "k", "k2", "h").join(named, (F.col("k") == F.col("ck")) & (F.col("k2") == F.col("ck2")), "left")
+    out = rows.select("doc_id", "n", "k", "k2", "h").join(named, (F.col("k") == F.col("ck")) & (F.col("k2") == F.col("ck2")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"))
 
 

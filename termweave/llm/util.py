@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +43,12 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files of plans that nothing refers to any more, now that a cut has replaced them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def carry(df: DataFrame, **columns: Column) -> DataFrame:
     """The whole row as one struct beside computed columns, so that no column name of the input can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(CARRIED), *[c.alias(n) for n, c in columns.items()])
