@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -68,9 +69,10 @@ def base_spans(text: str) -> list[Span]:
 
 _AT = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\sat\s", re.I)
 _BEFORE_AT = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?$")
-_AFTER_AT = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[A-Za-z0-9-]{1,63}){1,4}", re.I)
+_AFTER_AT = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[A-Za-z0-9-]{1,63})+", re.I)
 _RUN = re.compile(r"[0-9]+(?:[\x20().-]{1,2}[0-9]+)*")
-_MOST_GROUPS = 7
+#: Digits of a candidate, at most; the groups they come in may be any.
+_MOST_DIGITS = 19
 
 
 def candidates(text: str) -> Iterator[Span]:
@@ -88,9 +90,9 @@ def candidates(text: str) -> Iterator[Span]:
         groups = [g.span() for g in _DIGITS.finditer(text, *run.span())]
         for i, (begin, _) in enumerate(groups):
             total = 0
-            for j in range(i, min(len(groups), i + _MOST_GROUPS)):
+            for j in range(i, len(groups)):
                 total += groups[j][1] - groups[j][0]
-                if total > 19:
+                if total > _MOST_DIGITS:
                     break
                 end = groups[j][1]
                 if j - i == 3 and all(text[groups[k][1] : groups[k + 1][0]] == "." for k in range(i, j)):
@@ -233,16 +235,26 @@ def training_spans(seed: int, rows: int = 3000) -> list[tuple[str, Span, int]]:
     def area() -> str:
         return f"({d(3)}) {d(3)}-{d(4)}"
 
+    def dealt(x: str) -> str:
+        """Digit by digit or in pairs."""
+        step, sep = r.choice((1, 1, 2)), r.choice("  -.")
+        return sep.join(x[i : i + step] for i in range(0, len(x), step))
+
     octet = lambda: str(r.randint(0, 255))
     made = [
         (lambda: (r.choice(("", cue("email"))), f"{w()}{r.choice(('@', ' (at) ', ' [at] ', ' at '))}{w()}{r.choice((' dot ', ' [dot] ', '(dot)'))}{r.choice(('com', 'org', 'net', 'de'))}"), "email", 1),
-        (lambda: ("", f"{w()} at {w()}.{w()}"), "email", 0),
+        (lambda: ("", f"{w()} at {w()}.{r.choice((w(), 'com', 'org'))}"), "email", 0),
         (lambda: (cue("phone"), r.choice((area(), f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"+{d(2)} {d(3)} {d(4)}", f"{d(5)} {d(6)}"))), "phone", 1),
         (lambda: ("", r.choice((area(), f"+{d(1)} {area()}", f"{d(3)}-{d(3)}-{d(4)}"))), "phone", 1),
         (lambda: (r.choice(_AGAINST) + " ", r.choice((d(8), d(10), f"{d(3)}-{d(4)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.{d(4)}"))), "phone", 0),
         (lambda: ("", r.choice((d(7), d(9), d(10), f"{d(4)} {d(4)}", f"19{d(2)}-20{d(2)}", f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", f"{d(2)} {d(3)} {d(2)}", f"{d(3)}.{d(4)}", f"{d(3)}-{d(4)}"))), "phone", 0),
         (lambda: (r.choice(("", "", cue("card"))) + r.choice(("", d(2) + " ", d(3) + " ")), r.choice((card(), grouped(card())))), "card", 1),
         (lambda: (r.choice(("", r.choice(_AGAINST) + " ")), r.choice((d(13), d(16), d(14), d(19), grouped(d(16))))), "card", None),
+        (lambda: (cue("phone"), dealt(d(10))), "phone", 1),
+        (lambda: (r.choice(("", r.choice(_AGAINST) + " ")), dealt(d(r.randint(7, 15)))), "phone", 0),
+        (lambda: (r.choice(("", cue("card"))) + r.choice(("", d(2) + " ")), dealt(card())), "card", 1),
+        (lambda: (r.choice(("", r.choice(_AGAINST) + " ")), dealt(d(r.randint(13, 19)))), "card", None),
+        (lambda: (r.choice(("", cue("email"))), f"{w()} at {w()}{''.join(f' dot {w()}' for _ in range(r.randint(2, 6)))} dot {r.choice(('com', 'org', 'net', 'de'))}"), "email", 1),
         (lambda: (cue("ip"), f"{octet()}.{octet()}.{octet()}.{octet()}"), "ip", 1),
         (lambda: (r.choice(("version ", "section ", "release ", "")), f"{d(1)}.{r.randint(256, 999)}.{d(1)}.{d(4)}"), "ip", 0),
     ]
@@ -286,20 +298,17 @@ def added_spans(text: str, base: list[Span], trees: BoostedTrees, at: dict[str,
     taken = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
     tops = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
-    free = []
-    for span in candidates(text):
+
+    def free(span: Span) -> bool:
         i = bisect.bisect_left(starts, span[2])
-        if not i or tops[i - 1] <= span[1]:
-            free.append(span)
-    if not free:
-        return []
-    free = list(dict.fromkeys(free))
-    p = trees.predict(np.array([features(text, s) for s in free]))
+        return not i or tops[i - 1] <= span[1]
+
+    left, likely = filter(free, candidates(text)), {}
+    while part := list(itertools.islice(left, 4096)):
+        p = trees.predict(np.array([features(text, s) for s in part]))
+        likely |= {s: x for s, x in zip(part, p.tolist(), strict=True) if x >= at[s[0]]}
     out: list[tuple[int, int, str]] = []
-    for i in sorted(range(len(free)), key=lambda i: (-p[i], free[i][1] - free[i][2], free[i])):
-        kind, a, b = free[i]
-        if p[i] < at[kind]:
-            continue
+    for kind, a, b in sorted(likely, key=lambda s: (-likely[s], s[1] - s[2], s)):
         k = bisect.bisect_left(out, (b, -1, ""))
         if k and out[k - 1][1] > a:
             continue

@@ -136,6 +136,19 @@ def test_personal_data():
     assert np.mean((p >= 0.5) == np.array([y for *_, y in rows])) > 0.9
 
 
+def test_personal_data_in_many_groups_or_labels():
+    trees, at = pii.model()
+    for t, want in (
+        ("call 5 5 5 1 2 3 4 5 6 7 today", "call [phone] today"),
+        ("card 12 41 11 11 11 11 11 11 11", "card 12 [card]"),
+        ("mail bob at mail dot a dot b dot c dot d dot example dot org now", "mail [email] now"),
+        ("bob at home.com, page 1 2 3 4 5 6 7 8 9 10 11 12", "bob at home.com, page 1 2 3 4 5 6 7 8 9 10 11 12"),
+    ):
+        base = pii.base_spans(t)
+        assert pii.redact(t, base + pii.added_spans(t, base, trees, at)) == want
+    assert ("card", 0, 37) in set(pii.candidates(" ".join("4" * 19)))
+
+
 def test_suffix_sort_and_removal(spark):
     r = random.Random(2)
     strings = np.array([[ord(r.choice("ab")) if k < 40 else ord(r.choice("abc")) for k in range(50)] for _ in range(60)], np.uint8)
