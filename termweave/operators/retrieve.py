@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import phonetics, text
-from termweave.functions.similarity import weighted_ratio_udf
+from termweave.functions.similarity import weighted_ratio, weighted_ratio_udf
 from termweave.sources.terms import Dictionary
 
-#: Names of a dictionary that are broadcast, at most (some 100 bytes each); beyond, joins shuffle.
+#: Names of a dictionary that are broadcast, at most (some 100 bytes each); beyond, names are met in blocks of as many.
 BROADCAST_NAMES = 100_000
 CUTOFF, SEARCH_CUTOFF = 35.0, 25.0
 
@@ -18,19 +18,32 @@ def _small(dictionary: Dictionary) -> bool:
     return dictionary.aliases().limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
 
 
+def _scored_blocks(keys: DataFrame, names: DataFrame, cutoff: float, most: int) -> DataFrame:
+    """Every key scored against every name, the names in blocks of BROADCAST_NAMES; of each Arrow batch the best ``most`` a key, so little is sorted or shuffled."""
+
+    def work(batches):
+        for b in batches:
+            b["similarity"] = [weighted_ratio(x, y) for x, y in zip(b["normalized"], b["alias"], strict=True)]
+            b = b[b["similarity"] >= cutoff].sort_values(["similarity", "entry_id", "place"], ascending=[False, True, True])
+            yield b.groupby("normalized", sort=False).head(most)
+
+    blocks = -(-names.count() // BROADCAST_NAMES)
+    pairs = keys.select("normalized").crossJoin(names.repartition(blocks).hint("shuffle_replicate_nl"))
+    return pairs.mapInPandas(work, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in pairs.schema)}, similarity double")
+
+
 def similar_names(keys: DataFrame, dictionary: Dictionary, cutoff: float, most: int) -> DataFrame:
     """The ``most`` names most like each ``normalized`` (at least ``cutoff``), ties in dictionary order.
 
-    A small dictionary is broadcast and every name is scored. A larger one is met through shared trigrams of
-    the spelling by a shuffled join, so that no pair without any is ever made.
+    Every name is scored. A small dictionary is broadcast; a larger one is met block by block, without a
+    broadcast and with the same result.
     """
     names = dictionary.aliases().select("entry_id", "place", "alias")
     if _small(dictionary):
         pairs = keys.crossJoin(F.broadcast(names))
+        scored = pairs.withColumn("similarity", weighted_ratio_udf("normalized", "alias")).where(F.col("similarity") >= cutoff)
     else:
-        gram = lambda df, c: df.withColumn("gram", F.explode(phonetics.ngrams(F.col(c))))
-        pairs = gram(keys, "normalized").join(gram(names, "alias"), "gram").drop("gram").distinct()
-    scored = pairs.withColumn("similarity", weighted_ratio_udf("normalized", "alias")).where(F.col("similarity") >= cutoff)
+        scored = _scored_blocks(keys, names, cutoff, most)
     order = Window.partitionBy("normalized").orderBy(F.desc("similarity"), "entry_id", "place")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 

@@ -33,6 +33,15 @@ def test_search(spark, dictionary):
     assert found[0]["concept_id"] == "RxCUI:11289" and {r["query"] for r in found} == {"Coumadin"}
 
 
+def test_names_beyond_a_broadcast_are_all_scored(spark, dictionary, monkeypatch):
+    keys = spark.createDataFrame([("zerilta",), ("amlodepen",), ("kosarna",), ("blood count",), ("zz",)], "normalized string")
+    small = sorted(retrieve.similar_names(keys, dictionary, 25.0, 20).collect())
+    monkeypatch.setattr(retrieve, "BROADCAST_NAMES", 10)
+    assert sorted(retrieve.similar_names(keys, dictionary, 25.0, 20).select("normalized", "entry_id", "place", "alias", "similarity", "rank").collect()) == small
+    grams = lambda x: {f"^{x}$"[i : i + 3] for i in range(len(x))}
+    assert any(not grams(r["normalized"]) & grams(r["alias"]) for r in small)
+
+
 def test_release(spark):
     def line(cui, name, pref="N", lat="ENG", suppress="N", sab="RXNORM", tty="IN"):
         f = dict.fromkeys(terms.RRF, "") | {"RXCUI": cui, "LAT": lat, "ISPREF": pref, "SAB": sab, "TTY": tty, "STR": name, "SUPPRESS": suppress}
