@@ -113,12 +113,18 @@ def metrics(records: DataFrame, gold: DataFrame, predicted: DataFrame, by: DataF
 
 
 def word_errors(reference: Column, hypothesis: Column) -> tuple[Column, Column]:
-    """(edits, reference words): each distinct word of a pair becomes one private character, then the edit distance counts words."""
+    """(edits, reference words): each distinct word of a pair becomes one code point from U+E000 on, then the edit distance counts words.
+
+    A pair of more distinct words than there are such code points (1,056,768) is an error.
+    """
     split = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
     a, b = split(reference), split(hypothesis)
     both = F.array_distinct(F.concat(a, b))
-    coded = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(57343) + F.array_position(both, w)), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(coded(a), coded(b)), F.size(a)
+    letter = lambda p: F.decode(F.unhex(F.lpad(F.hex(F.lit(0xDFFF) + p), 8, "0")), "UTF-32")
+    # the array of one binds the distinct words, which else are found anew for every word
+    coded = lambda words: F.get(F.transform(F.array(both), lambda known: F.array_join(F.transform(words, lambda w: letter(F.array_position(known, w))), "")), F.lit(0))
+    edits = F.when(F.size(both) > 0x110000 - 0xE000, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(F.levenshtein(coded(a), coded(b)))
+    return edits.cast("int"), F.size(a)
 
 
 def transcript_errors(records: DataFrame) -> DataFrame:
