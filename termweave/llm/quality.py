@@ -59,16 +59,20 @@ class Describer(dict):
             word, capitals = _EDGES.sub("", token.lower()), sum(map(str.isupper, token))
             odd = sum(not c.isalnum() and c not in "_.,'\"-" for c in token)
             plain = bool(_PLAIN.fullmatch(token))
-            shape = self._shape("".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token[:40]))
+            shape = self._shape("".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token))
         row = self[token] = len(self)
         self.slots[row] = zlib.crc32(word.encode()) % _HALF, shape
         letters = len(core) if core.isalpha() else sum(map(str.isalpha, token))
         self.facts[row] = letters, capitals, odd, plain, token.endswith((".", "!", "?")), word in INSULTS, word in self.mined
         return row
 
+    @classmethod
+    def _shape(cls, form: str) -> int:
+        return (cls._slot if len(form) <= 40 else cls._slot.__wrapped__)(form)  # long ones are not kept
+
     @staticmethod
     @functools.lru_cache(maxsize=20_000)
-    def _shape(form: str) -> int:
+    def _slot(form: str) -> int:
         return _HALF + zlib.crc32(_RUNS.sub(r"\1", form).encode()) % _HALF
 
     def __call__(self, text: str | None, features: bool = True) -> tuple[list[int], np.ndarray, np.ndarray]:

@@ -206,6 +206,13 @@ def test_components(spark):
     assert got == {x: union.find(x) for pair in links if pair[0] != pair[1] for x in pair}
 
 
+def test_shape_of_a_whole_token():
+    known = quality.Describer(frozenset())
+    start = "。".join(["日本"] * 20)
+    shape = lambda token: int(known.slots[known[token], 1])
+    assert shape(start + "語") == shape(start + "語語") != shape(start + "#$%^&*" * 9) != shape(start)
+
+
 def test_quality_finds_junk_and_abuse(spark):
     r = random.Random(3)
     words = "the river runs along a green valley and people walk near old houses in spring while birds sing".split()
