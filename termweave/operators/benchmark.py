@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.plans.match import NBEST, TOKENS
+
 _MARK, _GLUE = r"\p{M}\x{200C}\x{200D}", r"\x{200C}\x{200D}"
 #: Conditions, each with the template that carries it.
 CONDITIONS = ["deletion", "transposition", "asr_boundary", "substitution", "script_confusion", "low_confidence", "negative"]
@@ -39,6 +41,8 @@ def damaged(term: Column, replacement: Column, foreign: Column) -> dict[str, Col
 def benchmark(terms: DataFrame, version: str = "benchmark-v1") -> DataFrame:
     """A record for each term and condition; terms have key, term, language, replacement, foreign (a letter of another script).
 
+    Records have the columns that ``evaluate`` reads. Low-confidence rows carry the term as a token of confidence
+    0.35, boundary rows both hypotheses (0.58 the reference, 0.42 what was heard); elsewhere these are empty.
     Damage that leaves the term as it was, or equals another kind's, shows in ``distinct_damage`` = false.
     """
     made = damaged(F.col("term"), F.col("replacement"), F.col("foreign"))
@@ -49,10 +53,17 @@ def benchmark(terms: DataFrame, version: str = "benchmark-v1") -> DataFrame:
     start = F.instr("template", "{}") - 1
     sentence = F.replace("template", F.lit("{}"), F.coalesce("observed", F.lit("")))
     gold = F.when(F.col("observed").isNotNull(), F.array(F.struct(start.alias("char_start"), (start + F.length("observed")).alias("char_end"), F.col("observed").alias("span_text"), F.col("term").alias("gold_term"), F.concat_ws(":", F.lit("SYNTH"), "language", "key").alias("concept_id"))))
+    start, end = start.cast("int"), (start + F.length("observed")).cast("int")
+    reference = F.when(F.col("observed").isNotNull(), F.replace("template", F.lit("{}"), F.col("term")))
+    none, quiet = F.lit(None).cast("double"), F.lit(0.35)
+    token = F.struct(F.col("observed").alias("text"), start.alias("char_start"), end.alias("char_end"), quiet.alias("confidence"), none.alias("start_time"), none.alias("end_time"))
+    both = F.array(F.struct(reference.alias("text"), F.lit(0.58).alias("confidence")), F.struct(sentence.alias("text"), F.lit(0.42).alias("confidence")))
+    only = lambda condition, value, kind: F.when(F.col("condition") == condition, value.cast(kind)).otherwise(F.array().cast(kind))
     return rows.select(
         F.lit(version).alias("dataset_version"), F.concat_ws("-", "language", "key", "condition").alias("case_id"), sentence.alias("text"), F.col("language").alias("locale"),
         F.array(F.when(F.col("condition") == "negative", "negative").otherwise("positive"), F.concat(F.lit("language:"), "language"), F.col("condition")).alias("tags"), "condition", "distinct_damage",
         F.coalesce(gold, F.array().cast("array<struct<char_start:int,char_end:int,span_text:string,gold_term:string,concept_id:string>>")).alias("gold_spans"),
+        only("low_confidence", F.array(token), TOKENS).alias("tokens"), only("asr_boundary", both, NBEST).alias("n_best"), reference.alias("reference_transcript"), F.when(F.col("observed").isNotNull(), sentence).alias("asr_hypothesis"),
     )
 
 

@@ -134,6 +134,19 @@ def test_benchmark(spark):
             assert r["text"][g["char_start"] : g["char_end"]] == g["span_text"]
 
 
+def test_benchmark_is_evaluated(spark, dictionary):
+    named = spark.createDataFrame([("a", "metformin", "en", "x", "ж")], "key string, term string, language string, replacement string, foreign string")
+    rows = {r["condition"]: r for r in benchmark.benchmark(named).collect()}
+    heard, observed = rows["asr_boundary"], rows["asr_boundary"]["gold_spans"][0]["span_text"]
+    assert [tuple(h) for h in heard["n_best"]] == [("Start metformin tonight.", 0.58), (f"Start {observed} tonight.", 0.42)]
+    low = rows["low_confidence"]
+    assert [(t["text"], t["char_start"], t["char_end"], t["confidence"]) for t in low["tokens"]] == [("metformin", 9, 18, 0.35)]
+    assert all(not r["n_best"] or c == "asr_boundary" for c, r in rows.items()) and all(not r["tokens"] or c == "low_confidence" for c, r in rows.items())
+    assert rows["negative"]["reference_transcript"] is None and heard["asr_hypothesis"] == heard["text"]
+    overall = evaluate.evaluate(benchmark.benchmark(named), dictionary)["overall"].first()
+    assert (overall["records"], overall["gold"], overall["negative_records"], overall["commits"]) == (7, 6, 1, 0)
+
+
 def test_stream(spark, dictionary, tmp_path):
     from termweave.streaming.matches import match_stream
 
