@@ -8,9 +8,10 @@ calls bad is rejected.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,54 +19,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.util import carry, cut, drop_cut, restore
+from termweave.llm.util import CARRIED, carry, cut, restore, texts_of
 
-#: Insults that the built-in labeller knows; the mined list adds what labelled rows show.
+#: Insults that the built-in labellers know; the mined list adds what labelled rows show.
 INSULTS = frozenset("trash pathetic idiot worthless disgusting stupid clown scum loser moron imbecile dumb jerk garbage vermin filth bastard".split())
 BITS = 16
-#: At most so many labelled rows are read to mine words, and so many documents a class train the scorers.
+#: Defaults of the bounds on what fits the model: labelled rows read to mine words, documents a class that train the scorers.
 LABELLED, SAMPLE = 40_000, 4_000
-MINED = 2_000
-FORM, TONE = 8, 4
+FORM, TONE, THIRDS, STEM = 8, 4, 3, 5
 GOOD, NONE, BAD = 0, 1, 2
+NUMBERS = 3
+#: Weight of the squared weights in fitting.
+RIDGE = 3e-4
 
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _PLAIN = re.compile(r"[\"'(]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"').,;:!?]*")
 _RUNS = re.compile(r"(.)\1+", re.S)
+_BREAK = re.compile(r"\s")
 _HALF = 1 << (BITS - 1)
-_KEPT = 300_000
-
-
-def _vote(x: float, good: float, bad: float) -> int:
-    """GOOD up to ``good``, BAD from ``bad``, else no vote."""
-    return GOOD if x <= good else BAD if x >= bad else NONE
+#: What a worker keeps between batches: tokens, and their characters in all.
+_KEPT, _KEPT_CHARS = 200_000, 8_000_000
+#: Facts of a token: letters, capitals, odd characters, whether plain, whether a sentence ends; then the thirds of the list, and unlisted words of a mined beginning.
+_LISTED = 5
 
 
 class Describer(dict):
-    """Token -> row of a table of what is known of it; turns texts into votes and features by sums over rows."""
+    """Token -> row of a table of what is known of it; turns texts into votes and features by sums over rows.
+
+    Nothing depends on a text's length: a text's tokens are all in the table at once, and the table is emptied
+    between batches only.
+    """
 
-    def __init__(self, mined: frozenset[str]):
+    def __init__(self, listed: frozenset[str]):
         super().__init__()
-        self.mined = mined
-        self.slots = np.zeros((_KEPT, 2), np.int64)  # of its word, of its shape
-        self.facts = np.zeros((_KEPT, 7))  # letters, capitals, odd characters, plain, sentence end, insult, mined
+        self.words, self.stems = INSULTS | {w for w in listed if not w.endswith("*")}, {w[:-1] for w in listed if w.endswith("*")}
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.chars = 0
+        self._words, self._kinds = array("H"), array("I")  # of each row: the slot of its word, and its kind
+        self._shapes, self._facts = array("H"), array("f")  # of each kind, as most tokens are alike but for the word
+        self._kind_of: dict[tuple, int] = {}
 
     def __missing__(self, token: str) -> int:
         core = token.rstrip(".,")
-        if core.isalpha() and (core.islower() or core[1:].islower()):  # nearly all tokens; the same as below, in short
-            word, capitals, odd, plain = core.lower(), int(core[:1].isupper()), 0, len(token) - len(core) < 2 or bool(_PLAIN.fullmatch(token))
-            shape = self._shape(("Aa" if capitals and len(core) > 1 else "A" if capitals else "a") + token[len(core) :])
-        else:
-            word, capitals = _EDGES.sub("", token.lower()), sum(map(str.isupper, token))
-            odd = sum(not c.isalnum() and c not in "_.,'\"-" for c in token)
-            plain = bool(_PLAIN.fullmatch(token))
-            shape = self._shape("".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token))
+        plain_word = core.isalpha() and (core.islower() or core[1:].islower())  # nearly all tokens
+        word = core.lower() if plain_word else _EDGES.sub("", token.lower())
+        crc = zlib.crc32(word.encode())
+        tone = (crc >> 16) % THIRDS if word in self.words else THIRDS if word[:STEM] in self.stems and len(word) > STEM else None
+        key = (tone, len(core), word != core, token[len(core) :]) if plain_word else (tone, token)
+        kind = self._kind_of.get(key)
+        if kind is None:
+            kind = self._kind_of[key] = self._new_kind(token, tone)
+        self._words.append(crc % _HALF)
+        self._kinds.append(kind)
         row = self[token] = len(self)
-        self.slots[row] = zlib.crc32(word.encode()) % _HALF, shape
-        letters = len(core) if core.isalpha() else sum(map(str.isalpha, token))
-        self.facts[row] = letters, capitals, odd, plain, token.endswith((".", "!", "?")), word in INSULTS, word in self.mined
+        self.chars += len(token)
         return row
 
+    def _new_kind(self, token: str, tone: int | None) -> int:
+        letters, capitals = sum(map(str.isalpha, token)), sum(map(str.isupper, token))
+        odd = sum(not c.isalnum() and c not in "_.,'\"-" for c in token)
+        self._facts.extend((letters, capitals, odd, bool(_PLAIN.fullmatch(token)), token.endswith((".", "!", "?")), *(float(k == tone) for k in range(TONE))))
+        self._shapes.append(self._shape("".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token)))
+        return len(self._shapes) - 1
+
     @classmethod
     def _shape(cls, form: str) -> int:
         return (cls._slot if len(form) <= 40 else cls._slot.__wrapped__)(form)  # long ones are not kept
@@ -73,77 +92,159 @@ class Describer(dict):
     @staticmethod
     @functools.lru_cache(maxsize=20_000)
     def _slot(form: str) -> int:
-        return _HALF + zlib.crc32(_RUNS.sub(r"\1", form).encode()) % _HALF
-
-    def __call__(self, text: str | None, features: bool = True) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """The labellers' votes (FORM of them on form, then TONE on tone) and, if asked for, the scorer's features: slots and values."""
-        tokens = (text or "").split()
-        n = len(tokens)
-        if not n:
-            return [BAD] * FORM + [NONE] * TONE, np.zeros(0, np.int64), np.zeros(0)
-        sums, many, slots, same = np.zeros(7), Counter(), [], 0
-        for at in range(0, n, _KEPT // 2):  # so many tokens always fit the table
-            part = tokens[at : at + _KEPT // 2]
-            if len(self) + len(part) > _KEPT and len(self) + len(set(part)) > _KEPT:
-                self.clear()
-            rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            own, counts = np.unique(rows, return_counts=True)
-            facts = self.facts[own]
-            sums += counts @ facts
-            ends = np.flatnonzero(np.r_[rows[1:] != rows[:-1], True])
-            runs = np.diff(ends, prepend=-1)
-            same += len(part) - len(runs)
-            many["run"] = max(many["run"], int(runs.max()))
-            many["in runs"] += int(runs[runs >= 3].sum())
-            many["most"] = max(many["most"], int(counts.max()))
-            kinds = self.slots[own[(facts[:, 5] + facts[:, 6]) > 0], 0]
-            slots.append((self.slots[own] if features else None, counts, kinds))
-        kinds = len(np.unique(np.concatenate([k for *_, k in slots])))
-        letters, capitals, odd, plain, stops, known, learnt = sums
-        both = known + learnt
-        odd, upper, same, most = odd / len(text), capitals / max(1, letters), same / n, many["most"] / n
-        long = n >= 30
-        votes = [
-            _vote(odd, 0.012, 0.04),
-            _vote(upper, 0.1, 0.35) if letters >= 40 else NONE,
-            _vote(same, 0.04, 0.15) if long else NONE,
-            _vote(many["run"], 2, 6) if long else NONE,
-            _vote(many["in runs"] / n, 0.01, 0.1) if long else NONE,
-            _vote(most, 0.12, 0.3) if long else NONE,
-            _vote(1 - plain / n, 0.15, 0.4),
-            (GOOD if 2 <= 100 * stops / n <= 40 else BAD if stops == 0 and n >= 60 else NONE) if long else NONE,
-            _vote(known, 0, 2),
-            _vote(learnt, 0, 2),
-            _vote(1000 * both / n, 0, 4),
-            _vote(kinds, 0, 2),
-        ]
-        if not features:
-            return votes, np.zeros(0, np.int64), np.zeros(0)
-        words = np.unique(np.concatenate([s[:, 0] for s, _, _ in slots]))
-        shapes, place = np.unique(np.concatenate([s[:, 1] for s, _, _ in slots]), return_inverse=True)
-        shares = np.bincount(place, np.concatenate([c for _, c, _ in slots])) * (4.0 / n)
-        at = np.concatenate([words, shapes, (1 << BITS) + np.arange(3)])
-        return votes, at, np.concatenate([np.ones(len(words)), shares, np.minimum(1.0, [4 * same, 4 * odd, 2 * upper])])
-
-
-@functools.lru_cache(maxsize=2)
-def describer(mined: frozenset[str]) -> Describer:
-    """One a worker process and list of words."""
-    return Describer(mined)
+        return zlib.crc32(_RUNS.sub(r"\1", form).encode()) % _HALF
+
+    def _rows(self, text: str) -> np.ndarray:
+        """The rows of a text's tokens; read a megabyte at a time, cut where a token ends."""
+        out, at = [], 0
+        while at < len(text):
+            stop = len(text)
+            if stop - at > 1 << 20 and (m := _BREAK.search(text, at + (1 << 20))):
+                stop = m.start()
+            tokens = (text if stop - at == len(text) else text[at:stop]).split()
+            out.append(np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens)))
+            at = stop
+        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def __call__(self, texts: list[str | None]) -> Described:
+        if len(self) > _KEPT or self.chars > _KEPT_CHARS:
+            self.forget()
+        parts = [self._rows(t or "") for t in texts]
+        size = np.array([len(p) for p in parts])
+        votes = np.full((len(texts), FORM + TONE), NONE, np.uint8)
+        votes[size == 0, :FORM] = BAD
+        live = np.flatnonzero(size)
+        numbers = np.zeros((len(texts), NUMBERS), np.float32)
+        if not len(live):
+            nothing = np.zeros(0, np.uint16)
+            return Described(votes, nothing, size, nothing, size, np.zeros(0, np.float32), numbers)
+        n, rows = size[live], np.concatenate([parts[i] for i in live])
+        begin, doc = np.cumsum(n) - n, np.repeat(np.arange(len(live)), n)
+        # runs of one token
+        edge = np.ones(len(rows), bool)
+        edge[1:] = rows[1:] != rows[:-1]
+        edge[begin] = True
+        at = np.flatnonzero(edge)
+        runs, first = np.diff(at, append=len(rows)), np.searchsorted(at, begin)
+        longest, same = np.maximum.reduceat(runs, first), (n - np.diff(first, append=len(at))) / n
+        in_runs = np.add.reduceat(np.where(runs >= 3, runs, 0), first) / n
+        # distinct tokens of each text
+        key = np.sort(doc << 32 | rows)
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        many, own, of = np.diff(at, append=len(key)), (key[at] & 0xFFFFFFFF).astype(np.int32), key[at] >> 32
+        first = np.searchsorted(of, np.arange(len(live)))
+        kind, slot = np.array(self._kinds)[own], np.array(self._words)[own].astype(np.int64)
+        facts, form = np.array(self._facts).reshape(-1, _LISTED + TONE)[kind].astype(np.float64), np.array(self._shapes)[kind].astype(np.int64)
+        letters, capitals, odd, plain, stops = np.add.reduceat(facts[:, :_LISTED] * many[:, None], first).T
+        most = np.maximum.reduceat(many, first) / n
+        odd, upper = odd / np.array([len(texts[i]) for i in live]), capitals / np.maximum(1, letters)
+        long, stops = n >= 30, 100 * stops / n
+        hits = facts[:, _LISTED:] > 0
+        tone = np.zeros((len(live), TONE), bool)
+        for k in range(TONE):
+            tone[of[hits[:, k]], k] = True
+        votes[live] = np.stack([
+            _votes(odd, 0.012, 0.04),
+            np.where(letters >= 40, _votes(upper, 0.1, 0.35), NONE),
+            np.where(long, _votes(same, 0.04, 0.15), NONE),
+            np.where(long, _votes(longest, 2, 6), NONE),
+            np.where(long, _votes(in_runs, 0.01, 0.1), NONE),
+            np.where(long, _votes(most, 0.12, 0.3), NONE),
+            _votes(1 - plain / n, 0.15, 0.4),
+            np.where(long, np.where((stops >= 2) & (stops <= 40), GOOD, np.where((stops == 0) & (n >= 60), BAD, NONE)), NONE),
+            *np.where(tone, BAD, GOOD).T,
+        ], axis=1)
+        numbers[live] = np.minimum(1.0, np.stack([4 * same, 4 * odd, 2 * upper], axis=1))
+        words = np.sort(of << BITS | slot)
+        words = words[np.r_[True, words[1:] != words[:-1]]]
+        shapes = of << BITS | form
+        order = np.argsort(shapes)
+        shapes, weight = shapes[order], many[order]
+        at = np.flatnonzero(np.r_[True, shapes[1:] != shapes[:-1]])
+        shapes, share = shapes[at], np.add.reduceat(weight, at)
+        count = lambda keys: np.bincount(live[keys >> BITS], minlength=len(texts))
+        low = lambda keys: (keys & (_HALF - 1)).astype(np.uint16)
+        return Described(votes, low(words), count(words), low(shapes), count(shapes), (4.0 * share / n[shapes >> BITS]).astype(np.float32), numbers)
+
+
+def _votes(x: np.ndarray, good: float, bad: float) -> np.ndarray:
+    """GOOD up to ``good``, BAD from ``bad``, else no vote."""
+    return np.where(x <= good, GOOD, np.where(x >= bad, BAD, NONE))
+
+
+class Described:
+    """Votes and features of some texts: slots of words, slots of shapes with the shares of tokens that have them, and numbers."""
+
+    def __init__(self, votes, words, n_words, shapes, n_shapes, shares, numbers):
+        self.votes, self.words, self.n_words, self.shapes, self.n_shapes, self.shares, self.numbers = votes, words, n_words, shapes, n_shapes, shares, numbers
+
+    def arrays(self) -> list[pa.Array]:
+        """FEATURES as Arrow columns."""
+        letters = (self.votes + 48).astype(np.uint8)
+        shapes = np.zeros(len(self.shapes), np.dtype([("s", "<u2"), ("v", "<f4")]))
+        shapes["s"], shapes["v"] = self.shapes, self.shares
+        n = len(self.votes)
+        votes = _binary(letters, np.full(n, letters.shape[1])).cast(pa.string())
+        return [votes, _binary(self.words.astype("<u2"), 2 * self.n_words), _binary(shapes, 6 * self.n_shapes), _binary(self.numbers.astype("<f4"), np.full(n, 4 * NUMBERS))]
+
+    @classmethod
+    def of(cls, words: pa.Array, shapes: pa.Array, numbers: pa.Array) -> Described:
+        w, n_words = _plain(words, "<u2")
+        s, n_shapes = _plain(shapes, np.dtype([("s", "<u2"), ("v", "<f4")]))
+        return cls(None, w, n_words, s["s"], n_shapes, s["v"], _plain(numbers, "<f4")[0].reshape(-1, NUMBERS))
+
+    def form(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, slot and value of each feature of form."""
+        n = len(self.n_words)
+        at = np.concatenate([self.shapes.astype(np.int64), np.tile(_HALF + np.arange(NUMBERS), n)])
+        return np.concatenate([np.repeat(np.arange(n), self.n_shapes), np.repeat(np.arange(n), NUMBERS)]), at, np.concatenate([self.shares, self.numbers.ravel()]).astype(float)
+
+    def tone(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, slot and value of each word; values of long texts are smaller, so that many common words do not add up to a verdict."""
+        return np.repeat(np.arange(len(self.n_words)), self.n_words), self.words.astype(np.int64), np.repeat(6 / np.sqrt(np.maximum(1, self.n_words)), self.n_words)
+
+
+FEATURES = {"votes": "string", "words": "binary", "shapes": "binary", "numbers": "binary"}
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _plain(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of a binary column, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.frombuffer(data.tobytes(), dtype), np.diff(offsets) // size
+
+
+@functools.lru_cache(maxsize=1)
+def describer(listed: frozenset[str]) -> Describer:
+    """One a worker process."""
+    return Describer(listed)
 
 
 def mine_words(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> frozenset[str]:
-    """Words of at least three abusive documents, nine tenths of whose labelled documents are abusive; at most MINED of them.
+    """Words, and beginnings of STEM letters (written with a star), that mark abusive documents.
 
-    Reads the texts of at most ``most`` labelled rows, those of the lowest hash.
+    Reads the texts of at most ``most`` labelled rows, those of the lowest hash. Nine tenths of the documents
+    that have the word are abusive, and so many that chance would give less than one such word in all.
     """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled"), F.col("toxic"))
     rows = rows.orderBy(F.xxhash64("labelled"), "labelled").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("labelled"))
-    words = texts.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))).alias("word"))
-    found = words.groupBy("word").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("bad"), F.count(F.lit(1)).alias("n"))
-    found = found.where((F.col("bad") >= 3) & (F.col("bad") >= 0.9 * F.col("n")) & (F.length("word") > 1))
-    return frozenset(r["word"] for r in found.orderBy(F.desc("bad"), "word").limit(MINED).collect())
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{2,}"), F.lit(0)))
+    stems = F.array_distinct(F.transform(F.filter("found", lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*"))))
+    words = texts.select("toxic", found.alias("found")).select("toxic", F.explode(F.concat("found", stems)).alias("word"))
+    words = cut(words.groupBy("word").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).where("n >= 3"), "words")
+    share = rows.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
+    if not share:
+        return frozenset()
+    least = max(3, math.ceil(math.log(max(2, words.count())) / -math.log(min(share, 0.5))))
+    return frozenset(r["word"] for r in words.where((F.col("bad") >= least) & (F.col("bad") >= 0.9 * F.col("n"))).select("word").collect())
 
 
 def label_model(votes: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -170,119 +271,113 @@ def label_model(votes: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.
     return new
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """Weights (the last is the intercept) of a logistic scorer on posterior labels; both classes weigh the same. AdaGrad over whole passes."""
-    size = (1 << BITS) + 4
-    counts = [len(i) for i, _ in rows]
-    at, value, row = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]), np.repeat(np.arange(len(rows)), counts)
-    share = target / max(target.sum(), 1e-9) + (1 - target) / max((1 - target).sum(), 1e-9)
+def fit_scorer(features: tuple[np.ndarray, np.ndarray, np.ndarray], target: np.ndarray, prior: float, rounds: int = 150) -> np.ndarray:
+    """Weights (the last is the intercept) of a logistic scorer on posterior labels. AdaGrad over whole passes.
+
+    The classes of a sample weigh as they do in the corpus, where ``prior`` is the share of bad documents.
+    """
+    row, at, value = features
+    size = _HALF + NUMBERS + 1
+    share = prior * target / max(target.sum(), 1e-9) + (1 - prior) * (1 - target) / max((1 - target).sum(), 1e-9)
     share /= share.sum()
     w, seen = np.zeros(size), np.full(size, 1e-8)
     for _ in range(rounds):
-        z = np.bincount(row, value * w[at], len(rows)) + w[-1]
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * share
-        grad = np.bincount(at, value * err[row], size) + 2e-5 * w
+        err = (_scores(features, w, len(target)) - target) * share
+        grad = np.bincount(at, value * err[row], size) + RIDGE * w
         grad[-1] = err.sum()
         seen += grad**2
         w -= 0.25 * grad / np.sqrt(seen)
     return w
 
 
-def _score(at: np.ndarray, value: np.ndarray, weights: np.ndarray) -> float:
-    z = float(weights[at] @ value + weights[-1])
-    return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+def _scores(features: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray, n: int) -> np.ndarray:
+    row, at, value = features
+    z = np.bincount(row, value * weights[at], n) + weights[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _blend(scored: float, posterior: float) -> float:
-    """Scorer and label model together: the mean of their log odds, the model's held within 1e-3."""
-    posterior = min(max(posterior, 1e-3), 1 - 1e-3)
-    scored = min(max(scored, 1e-9), 1 - 1e-9)
-    z = 0.5 * (np.log(scored / (1 - scored)) + np.log(posterior / (1 - posterior)))
-    return float(1 / (1 + np.exp(-z)))
+def _slices(batch: pa.RecordBatch, texts: pa.Array, most: int = 256, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch of at most ``most`` rows, fewer if the texts are long."""
+    at = 0
+    while at < batch.num_rows:
+        own = texts.slice(at, most).to_pylist()
+        held = 0
+        for n, t in enumerate(own, 1):
+            held += len(t or "")
+            if held >= chars:
+                break
+        yield batch.slice(at, n), own[:n]
+        at += n
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Adds (or replaces) votes, p_junk, p_abuse, score and keep; all other columns return.
+def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, labelled: int = LABELLED, sample: int = SAMPLE, columns: list[str] | None = None) -> DataFrame:
+    """Adds (or replaces) votes, p_junk, p_abuse, score and keep; all other columns return, or those in ``columns``.
 
     ``votes`` has a digit a labeller: 0 good, 1 none, 2 bad. The label models see the votes of all documents,
-    as counts of vote patterns (at most 3^12, whatever the input). The scorers are fitted to at most SAMPLE
-    documents a class of either aspect, drawn by hash; p_junk and p_abuse are the scorers' probabilities,
-    blended with the label models' (mean log odds), score is one less the larger, and keep is whether both are under ``threshold``. Null, empty and blank
-    texts are rejected (score 0). ``labels`` (doc_id, toxic) serves only to mine words for one labeller, from
-    at most LABELLED rows; without it that list is empty. Rows that repeat get equal results.
-
-    Scale: three passes over the texts and no shuffle but of pattern counts, samples and word counts.
+    as counts of vote patterns (at most 3^12, whatever the input). The scorers are fitted to about ``sample``
+    documents a class of either aspect, drawn by hash; p_junk and p_abuse are the scorers' probabilities, score
+    is one less the larger, and keep is whether both are under ``threshold``. Null, empty and blank
+    texts are rejected (score 0). ``labels`` (doc_id, toxic) serves only to mine words for the labellers of
+    tone, from at most ``labelled`` rows; without it they know the built-in words. Each of three has a third of the words,
+    the fourth looks at other words of a mined beginning, so no occurrence counts with two of them.
+    Rows that repeat get equal results.
+
+    Scale: the texts are read once (and those of labelled rows once more); votes and features are written beside the returned columns,
+    about a quarter of the texts' size, and judged from there. No shuffle but of pattern counts, the
+    samples and word counts.
     """
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    own = docs.select(id_.alias("doc_id"), text.alias("text"))
-    mined = mine_words(own, labels) if labels is not None else frozenset()
+    columns = docs.columns if columns is None else columns
+    listed = mine_words(docs.select(id_.alias("doc_id"), text.alias("text")), labels, labelled) if labels is not None else frozenset()
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        describe = describer(mined)
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = describer(listed)
         for batch in batches:
-            out = ["".join(map(str, describe(t, features=False)[0])) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], names=["votes", "h"])
-
-    hashed = own.select("text", F.xxhash64("doc_id", "text").alias("h"))
-    voted = cut(hashed.mapInArrow(vote, "votes string, h long"), "votes")
-    patterns = sorted((r["votes"], r["count"]) for r in voted.groupBy("votes").count().collect())
-    weights, known = [np.zeros((1 << BITS) + 4)] * 2, {}
-    if patterns:
-        votes = np.array([[int(c) for c in p] for p, _ in patterns])
-        many = np.array([n for _, n in patterns], float)
-        q = [label_model(votes[:, :FORM], many), label_model(votes[:, FORM:], many)]
-        known = {p: (q[0][i], q[1][i]) for i, (p, _) in enumerate(patterns)}
-        place = (q[0] >= 0.5) + 2 * (q[1] >= 0.5)
-        size = np.bincount(place, many, 4)
-        rate = {p: min(1.0, SAMPLE / size[place[i]]) for i, (p, _) in enumerate(patterns)}
-
-        def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            describe = describer(mined)
-            for batch in batches:
-                rows = []
-                for t, h, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    _, at, value = describe(t)
-                    if len(at):
-                        rows.append({"h": h, "votes": p, "at": at.tolist(), "value": value.tolist()})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=SAMPLED)
-
-        # what is drawn depends on a row's hash and votes alone: small tables, joined back to the few texts
-        chance = F.create_map(*[F.lit(x) for pair in rate.items() for x in pair])[F.col("votes")]
-        unit = F.pmod(F.xxhash64(F.lit("drawn"), F.col("h")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-        keys = voted.where(unit < chance).groupBy("h").agg(F.min("votes").alias("votes")).orderBy("h").limit(6 * SAMPLE)
-        keys = keys.select(F.col("h").alias("own_h"), "votes")
-        texts = hashed.join(F.broadcast(keys), F.col("h") == F.col("own_h")).dropDuplicates(["h"]).select("text", "h", "votes")
-        drawn = texts.mapInArrow(sample, "h long, votes string, at array<int>, value array<float>").orderBy("h").toArrow()
-        rows = [(np.array(a, np.int64), np.array(v)) for a, v in zip(drawn.column("at").to_pylist(), drawn.column("value").to_pylist(), strict=True)]
-        if rows:
-            target = np.array([known[p] for p in drawn.column("votes").to_pylist()])
-            form = [(i[i >= _HALF], v[i >= _HALF]) for i, v in rows]
-            tone = [(i[i < _HALF], v[i < _HALF]) for i, v in rows]
-            weights = [fit_scorer(form, target[:, 0]), fit_scorer(tone, target[:, 1])]
-    weights = [w.astype(np.float32) for w in weights]
-
-    drop_cut(voted)
+            for part, texts in _slices(batch, texts_of(batch, text_col if text_col in columns else None)):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own(texts).arrays()], names=[CARRIED, "h", *FEATURES])
+
+    base = carry(docs, columns, h=F.xxhash64(id_, text), **({} if text_col in columns else {"own": text}))
+    schema = base.select(CARRIED, "h").schema
+    for n, kind in FEATURES.items():
+        schema = schema.add(n, kind)
+    described = cut(base.mapInArrow(describe, schema), "described")
+    weights = _fit(described, sample)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        describe = describer(mined)
         for batch in batches:
-            rows = []
-            for t in batch.column("own").to_pylist():
-                v, at, x = describe(t)
-                votes = "".join(map(str, v))
-                form = at >= _HALF
-                junk, abuse = (_blend(_score(at[k], x[k], w), q) for k, w, q in zip((form, ~form), weights, known[votes], strict=True)) if len(at) else (1.0, 0.0)
-                rows.append((votes, junk, abuse, 1 - max(junk, abuse), junk < threshold and abuse < threshold))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.float64()] * 3, pa.bool_()], strict=True))], names=[batch.schema.names[0], *names])
+            known = Described.of(*(batch.column(batch.schema.get_field_index(n)) for n in ("words", "shapes", "numbers")))
+            n, none = batch.num_rows, known.n_words == 0
+            junk, abuse = (_scores(f, w, n) for f, w in zip((known.form(), known.tone()), weights, strict=True))
+            junk[none], abuse[none] = 1.0, 0.0
+            worst = np.maximum(junk, abuse)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(junk), pa.array(abuse), pa.array(1 - worst), pa.array(worst < threshold)], names=[CARRIED, *names])
 
     names = ["votes", "p_junk", "p_abuse", "score", "keep"]
-    base = carry(docs, own=text)
-    schema = base.select("_tw_row").schema
-    for n, kind in zip(names, ["string", "double", "double", "double", "boolean"], strict=True):
+    schema = described.select(CARRIED, "votes").schema
+    for n, kind in zip(names[1:], ["double", "double", "double", "boolean"], strict=True):
         schema = schema.add(n, kind)
-    return restore(base.mapInArrow(judge, schema), docs.columns, **{n: F.col(n) for n in names})
-
-
-SAMPLED = pa.schema([("h", pa.int64()), ("votes", pa.string()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
+    judged = described.select(CARRIED, "votes", "words", "shapes", "numbers").mapInArrow(judge, schema)
+    return restore(judged, columns, **{n: F.col(n) for n in names})
+
+
+def _fit(described: DataFrame, sample: int) -> list[np.ndarray]:
+    """The two scorers' weights, from the vote patterns of all rows and a sample of their features drawn by hash."""
+    spark = described.sparkSession
+    patterns = sorted((r["votes"], r["count"]) for r in described.groupBy("votes").count().collect())  # at most 3^12
+    nothing = [np.zeros(_HALF + NUMBERS + 1)] * 2
+    if not patterns:
+        return nothing
+    votes, many = np.array([[int(c) for c in p] for p, _ in patterns]), np.array([n for _, n in patterns], float)
+    q = np.stack([label_model(votes[:, :FORM], many), label_model(votes[:, FORM:], many)], axis=1)
+    place = (q[:, 0] >= 0.5) + 2 * (q[:, 1] >= 0.5)
+    rate = np.minimum(1.0, sample / np.maximum(1, np.bincount(place, many, 4)))[place]
+    table = pa.table({"pattern": [p for p, _ in patterns], "rate": rate, "junk": q[:, 0], "abuse": q[:, 1]})
+    unit = F.pmod(F.xxhash64(F.lit("drawn"), F.col("h")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    drawn = described.select("h", "votes", "words", "shapes", "numbers").join(F.broadcast(spark.createDataFrame(table)), F.col("votes") == F.col("pattern"))
+    drawn = drawn.where((unit < F.col("rate")) & (F.length("words") > 0)).groupBy("h").agg(F.min(F.struct("junk", "abuse", "words", "shapes", "numbers")).alias("f"))
+    drawn = drawn.select("h", "f.*").orderBy("h").limit(6 * sample).toArrow().combine_chunks()
+    if not drawn.num_rows:
+        return nothing
+    known = Described.of(*(drawn.column(n).chunk(0) for n in ("words", "shapes", "numbers")))
+    prior = np.clip((q * many[:, None]).sum(0) / many.sum(), 1e-3, 1 - 1e-3)
+    return [fit_scorer(f, drawn.column(n).to_numpy(), float(p)) for f, n, p in zip((known.form(), known.tone()), ("junk", "abuse"), prior, strict=True)]

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.classify(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels"))
+    judged = quality.classify(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels"), columns=["doc_id"])
     return judged.select("doc_id", "votes", "p_junk", "p_abuse", "score", "keep")
 
 

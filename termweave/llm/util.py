@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,10 +18,12 @@ CARRIED = "_tw_row"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Only where that setting is absent and the session runs on one machine (as in tests) a temporary folder takes its place.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="termweave-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there
@@ -49,9 +52,17 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def carry(df: DataFrame, **columns: Column) -> DataFrame:
-    """The whole row as one struct beside computed columns, so that no column name of the input can clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(CARRIED), *[c.alias(n) for n, c in columns.items()])
+def carry(df: DataFrame, kept: list[str] | None = None, **columns: Column) -> DataFrame:
+    """The whole row (or its columns ``kept``) as one struct beside computed columns, so that no column name of the input can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in (df.columns if kept is None else kept)]).alias(CARRIED), *[c.alias(n) for n, c in columns.items()])
+
+
+def texts_of(batch: pa.RecordBatch, column: str | None) -> pa.Array:
+    """The text column of a batch of carried rows, read from the rows themselves; without a name, the computed column ``own``."""
+    if column is None:
+        return batch.column(batch.schema.get_field_index("own"))
+    rows = batch.column(batch.schema.get_field_index(CARRIED))
+    return rows.field(rows.type.get_field_index(column))
 
 
 def restore(df: DataFrame, columns: list[str], **put: Column) -> DataFrame:
