@@ -1,7 +1,7 @@
 """BPE encoding and decoding by per-prefix dynamic programming.
 
 For every prefix of a piece of text exactly one vocabulary token can be the last one of the prefix's
-encoding. It is found among the tokens that end there (an automaton over the vocabulary lists them): the
+encoding. It is found among the tokens that end there (an automaton with suffix links over the vocabulary lists them): the
 token fits if it and the last token of the prefix before it could stand side by side in an encoding. The
 last tokens of all prefixes are kept, and the encoding of the whole is read off backwards.
 """
@@ -19,17 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from termweave.llm.util import carry, restore
+from termweave.llm.util import CARRIED, carry, restore, slices, texts_of
 
 #: Fixed value: the splitting pattern of byte-level BPE files of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pattern over U+0000 to U+00FF alone, where its classes are short lists; fixed values.
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 SPLIT_LATIN = rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Up to so many bytes a piece is read along the tokens' trie from every start; the automaton reads longer ones.
-SHORT = 48
-#: Pieces and pairs whose results a worker keeps; when full, the store is emptied.
-KEPT_PIECES, KEPT_PAIRS = 800_000, 1_000_000
+#: Pieces (of at most so many characters) and pairs whose results a worker keeps; when full, the store is emptied.
+KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 200_000, 64, 200_000
 DEFAULT = "byte_bpe_50k.json"
 
 
@@ -72,14 +70,9 @@ class PrefixEncoder:
                 self.parts[whole], self.born[whole] = pair, r
         self.fits = _Fits(self)
         automaton = ahocorasick.Automaton()
-        self.trie: list = [None, {}]  # the same tokens by their bytes, for short pieces: [token, next byte -> node]
         for token, i in ids.items():
             if len(raw[token]) == 1 or i in self.parts and self.side_by_side(*self.parts[i], before=self.born[i]):
                 automaton.add_word(raw[token].decode("latin-1"), (len(raw[token]), i))
-                node = self.trie
-                for b in raw[token]:
-                    node = node[1].setdefault(b, [None, {}])
-                node[0] = i
         automaton.make_automaton()
         self._ends = automaton.iter
         self._any, self._latin = regex.compile(SPLIT).findall, re.compile(SPLIT_LATIN).findall
@@ -117,35 +110,16 @@ class PrefixEncoder:
         return self._latin(text)
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
-        n = len(piece)
-        last = self._last_tokens_long(piece) if n > SHORT else self._last_tokens(piece)
-        out = []
+        """Ids of one piece, read back from the last tokens of its prefixes."""
+        last, n, out = self._last_tokens(piece), len(piece), []
         while n:
             token, n = last[n]
             out.append(token)
         out.reverse()
         return out
 
-    def _last_tokens(self, piece: bytes) -> list:
+    def _last_tokens(self, piece: bytes) -> list[tuple[int, int] | None]:
         """For each prefix (by its length) its last token and where that starts."""
-        n = len(piece)
-        last: list = [None] * (n + 1)
-        fits, before = self.fits, -1
-        for start in range(n):
-            if start:
-                before = last[start][0]
-            node = self.trie
-            for end in range(start, n):
-                node = node[1].get(piece[end])
-                if node is None:
-                    break
-                own = node[0]
-                if own is not None and last[end + 1] is None and (start == 0 or fits[before, own]):
-                    last[end + 1] = own, start
-        return last
-
-    def _last_tokens_long(self, piece: bytes) -> list:
         last: list[tuple[int, int] | None] = [None] * (len(piece) + 1)
         fits = self.fits
         for end, (size, own) in self._ends(piece.decode("latin-1")):
@@ -202,7 +176,7 @@ class _Pieces(dict):
         if len(self) >= KEPT_PIECES:
             self.clear()
         out = ",".join(map(str, self.owner.encode_piece(piece.encode())))
-        if len(piece) <= SHORT:
+        if len(piece) <= KEPT_LENGTH:
             self[piece] = out
         return out
 
@@ -219,37 +193,36 @@ def vocabulary_path(name: str = DEFAULT) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = True, columns: list[str] | None = None) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Adds (or replaces) n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the
-    decoded text) and, with ``with_ids``, ids and decoded; every other column returns as it is. A null text
+    decoded text) and, with ``with_ids``, ids and decoded; every other column (or those in ``columns``) returns as it is. A null text
     counts as empty: no ids. Strings of added tokens in a text become those tokens, as the file says. The
     file at ``path`` must be there on every executor, as an installed package's data is; by default it is
     looked up there by its name. Each row is worked on by itself, in one pass without a shuffle; a worker
     holds the tables of one vocabulary and a bounded store of pieces.
     """
+    columns = docs.columns if columns is None else columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path or vocabulary_path())
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part, texts in slices(batch, texts_of(batch, text_col if text_col in columns else None)):
                 rows = []
-                for text in part.column("own").to_pylist():
+                for text in texts:
                     joined = own.encode_joined(text or "")
                     ids = list(map(int, joined.split(","))) if joined else []
                     decoded = own.decode(ids)
                     row = (len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                     rows.append((*row, ids, decoded) if with_ids else row)
-                columns = list(zip(*rows, strict=True))
-                arrays = [part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[part.schema.names[0], *names])
+                arrays = [part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[CARRIED, *names])
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
     types = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.string()] if with_ids else [])]
-    base = carry(docs, own=F.col(f"`{text_col}`"))
-    schema = base.select("_tw_row").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    base = carry(docs, columns, **({} if text_col in columns else {"own": F.col(f"`{text_col}`")}))
+    schema = base.select(CARRIED).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
-    return restore(base.mapInArrow(run, schema), docs.columns, **{n: F.col(n) for n in names})
+    return restore(base.mapInArrow(run, schema), columns, **{n: F.col(n) for n in names})

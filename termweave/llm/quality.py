@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.util import CARRIED, carry, cut, restore, texts_of
+from termweave.llm.util import CARRIED, carry, cut, restore, slices, texts_of
 
 #: Insults that the built-in labellers know; the mined list adds what labelled rows show.
 INSULTS = frozenset("trash pathetic idiot worthless disgusting stupid clown scum loser moron imbecile dumb jerk garbage vermin filth bastard".split())
@@ -296,20 +296,6 @@ def _scores(features: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.nda
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _slices(batch: pa.RecordBatch, texts: pa.Array, most: int = 256, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch of at most ``most`` rows, fewer if the texts are long."""
-    at = 0
-    while at < batch.num_rows:
-        own = texts.slice(at, most).to_pylist()
-        held = 0
-        for n, t in enumerate(own, 1):
-            held += len(t or "")
-            if held >= chars:
-                break
-        yield batch.slice(at, n), own[:n]
-        at += n
-
-
 def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, labelled: int = LABELLED, sample: int = SAMPLE, columns: list[str] | None = None) -> DataFrame:
     """Adds (or replaces) votes, p_junk, p_abuse, score and keep; all other columns return, or those in ``columns``.
 
@@ -333,7 +319,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = describer(listed)
         for batch in batches:
-            for part, texts in _slices(batch, texts_of(batch, text_col if text_col in columns else None)):
+            for part, texts in slices(batch, texts_of(batch, text_col if text_col in columns else None)):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own(texts).arrays()], names=[CARRIED, "h", *FEATURES])
 
     base = carry(docs, columns, h=F.xxhash64(id_, text), **({} if text_col in columns else {"own": text}))

@@ -20,7 +20,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    return bpe.encode_documents(docs, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_documents(docs, with_ids=False, columns=["doc_id"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,20 @@ def texts_of(batch: pa.RecordBatch, column: str | None) -> pa.Array:
     return rows.field(rows.type.get_field_index(column))
 
 
+def slices(batch: pa.RecordBatch, texts: pa.Array, most: int = 256, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch of at most ``most`` rows, fewer if the texts are long."""
+    at = 0
+    while at < batch.num_rows:
+        own = texts.slice(at, most).to_pylist()
+        held = 0
+        for n, t in enumerate(own, 1):
+            held += len(t or "")
+            if held >= chars:
+                break
+        yield batch.slice(at, n), own[:n]
+        at += n
+
+
 def restore(df: DataFrame, columns: list[str], **put: Column) -> DataFrame:
     """The carried columns again; those in ``put`` replace columns of the same name or follow at the end."""
     kept = [put.get(c, F.col(f"{CARRIED}.`{c}`")).alias(c) for c in columns]
@@ -95,11 +109,16 @@ def packed_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple
         yield at, pa.Table.from_batches(held)
 
 
-def by_key(df: DataFrame, key: str, work: Callable, schema: str) -> DataFrame:
-    """Bring rows of equal ``key`` together and run ``work(key, table) -> iterator of record batches`` on each group, one at a time."""
+def by_key(df: DataFrame, key: str, work: Callable, schema: str, groups: int = 0) -> DataFrame:
+    """Bring rows of equal ``key`` together and run ``work(key, table) -> iterator of record batches`` on each group, one at a time.
+
+    ``groups`` is how many keys to expect: beyond the session's shuffle partitions there are half as many partitions as keys, so that tasks do not grow with the input.
+    """
 
     def run(batches):
         for k, table in packed_groups(batches, key):
             yield from work(k, table)
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(-(-groups // 2), F.col(key)) if groups > 2 * parts else df.repartition(F.col(key))
+    return dealt.sortWithinPartitions(key).mapInArrow(run, schema)
