@@ -11,11 +11,12 @@ from termweave.llm.util import cut, drop_cut
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the smallest node of each node's component, for all nodes in ``links`` (longs, not null).
 
-    Each round joins nothing and groups by node, with minima combined before the shuffle; the number of
-    rounds grows with the logarithm of the largest component. Rounds are cut by written tables.
+    Each round groups by node, with minima combined before the shuffle; the number of rounds grows with the
+    logarithm of the largest component, and there is none if the links are stars about their smallest nodes
+    already. Rounds are cut by written tables.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
-    while True:
+    while _not_stars(edges):
         # large star: every neighbour above a node goes to the node's smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -26,9 +27,12 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         after = cut(small.where("u > v").distinct(), "links")
         drop_cut(large)
-        moved = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
         drop_cut(edges)
         edges = after
-        if not moved:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _not_stars(edges: DataFrame) -> bool:
+    """Whether some node has two links downwards, or links both ways."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down")))).alias("e")).select("e.*")
+    return bool(ends.groupBy("node").agg(F.sum("down").alias("down"), F.count(F.lit(1)).alias("all")).where("down > 1 OR (down = 1 AND all > 1)").limit(1).count())

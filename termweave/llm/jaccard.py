@@ -4,6 +4,7 @@ Copies with equal sets are one class. Classes whose low-hashed tokens recur in t
 have no partner and leave early. Of the rest, rare-first prefixes of the sets group what may be linked, and
 within a group a T-occurrence search finds the links: short inverted lists are merged on a heap, long ones
 are only probed by binary search (DivideSkip), and documents that reach the required overlap are retained.
+A group too large for a task is dealt into blocks, and each pair of blocks is searched by a task of its own.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ import hashlib
 import heapq
 import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm.components import connected
-from termweave.llm.util import by_key, cut, drop_cut, small_enough, tidy
+from termweave.llm.util import by_key, carry, cut, drop_cut, restore, slices, small_enough, tidy
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 #: The count sketch has so many counters, whatever the input.
 SKETCH = 1 << 20
 BUCKET_BYTES = 8 << 20
 BROADCAST_IDS = 500_000
-#: Rounds of links against hubs within a group.
-TURNS = 10
-#: Entries that are merged on a heap, at most.
-HEAP = 20_000
+#: Bytes of sets that a task takes of one group; a larger group is dealt into blocks of half as many.
+GROUP_BYTES = 64 << 20
+#: A class of more than this share of all rows is met by a broadcast (so at most as many classes as this), others by a shuffle.
+HOT_SHARE = 1000
+#: In a group of so few sets all search at once; the links are the same.
+FEW = 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -92,17 +94,18 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.int64())
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: set size, class, and its lowest-hashed tokens (the allowed misses, one, and a fifth more), 48 bits each."""
     for batch in batches:
-        rows = []
-        for i, text, h in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-            s = shingles(text)
-            n = len(s)
-            if not n:
-                rows.append((i, 0, None, None, None, h))
-                continue
-            most = n - _need(n) + 1 + _spare(n)
-            low = (s[:most] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((i, n, *_class_of(s), low.tobytes(), h))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), DIGEST.types, strict=True)] if rows else [pa.array([], t) for t in DIGEST.types], schema=DIGEST)
+        for part, texts in slices(batch, batch.column(1)):
+            rows = []
+            for i, text, h in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), strict=True):
+                s = shingles(text)
+                n = len(s)
+                if not n:
+                    rows.append((i, 0, None, None, None, h))
+                    continue
+                most = n - _need(n) + 1 + _spare(n)
+                low = (s[:most] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                rows.append((i, n, *_class_of(s), low.tobytes(), h))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), DIGEST.types, strict=True)], schema=DIGEST)
 
 
 PACKED = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("which", pa.binary()), ("owner", pa.binary())])
@@ -183,13 +186,14 @@ SETS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("tokens", pa.binar
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for i, text, k in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-            s = shingles(text)
-            if len(s) and _class_of(s)[0] == k:
-                rows.append({"doc_id": i, "k": k, "tokens": s.tobytes()})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=SETS)
+        for part, texts in slices(batch, batch.column(1)):
+            rows = []
+            for i, text, k in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), strict=True):
+                s = shingles(text)
+                if len(s) and _class_of(s)[0] == k:
+                    rows.append({"doc_id": i, "k": k, "tokens": s.tobytes()})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=SETS)
 
 
 def _slot(tokens: np.ndarray) -> np.ndarray:
@@ -265,115 +269,127 @@ class _Union:
 def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
     """Entries that stand in at least ``least`` of the ascending ``lists`` (each entry once a list), and in how many.
 
-    The longest lists, fewer than ``least`` of them, are set aside; the others are merged on a heap (beyond
-    HEAP entries by numpy's sort of the runs, which gives the same in less time). An entry met often enough
-    there is looked up in the long lists by binary search, as long as it can still reach ``least``.
+    The longest lists, fewer than ``least`` of them, are set aside; the others are merged on a heap. An entry
+    met often enough there is looked up in the long lists by binary search, as long as it can still reach
+    ``least``.
     """
     lists = sorted(lists, key=len)
     if len(lists) < least:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     aside = min(least - 1, int(least / (0.01 * math.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    if sum(map(len, short)) <= HEAP:
-        found = [(entry, sum(1 for _ in same)) for entry, same in itertools.groupby(heapq.merge(*[x.tolist() for x in short]))]
-        entries, times = np.array([e for e, _ in found], np.int64), np.array([t for _, t in found], np.int64)
-    else:
-        entries, times = np.unique(np.concatenate(short), return_counts=True)
-    for left in range(len(long), -1, -1):
+    enough = least - aside
+    found = [(entry, times) for entry, same in itertools.groupby(heapq.merge(*[x.tolist() for x in short])) if (times := sum(1 for _ in same)) >= enough]
+    entries, times = np.array([e for e, _ in found], np.int64), np.array([t for _, t in found], np.int64)
+    for left in range(len(long), 0, -1):
         fine = times + left >= least
         entries, times = entries[fine], times[fine]
-        if left and len(entries):
-            own = long[len(long) - left]
-            times = times + (own[np.minimum(np.searchsorted(own, entries), len(own) - 1)] == entries)
-    return entries, times
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Entries that two ascending arrays share; the shorter is looked up in the longer."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+        if not len(entries):
+            break
+        own = long[len(long) - left]
+        times = times + (own[np.minimum(np.searchsorted(own, entries), len(own) - 1)] == entries)
+    fine = times >= least
+    return entries[fine], times[fine]
 
 
 def link_group(sets: list[np.ndarray]) -> list[int]:
-    """For each set of a group the first set of its component, by exact links.
+    """For each set of a group the first set of its component, by exact links, all found by the T-occurrence search.
 
-    Most links of a family of copies are found against hubs: in each turn sets get ranks by hash, and the set
-    of the highest rank that has a token is its hub. A token all of whose sets are joined already can add
-    nothing to the overlap of sets that are not; sets without enough other tokens are done. What is left goes
-    through the T-occurrence search, which misses no link; sets of the largest component left need not ask, as
-    the other set of any link between components does.
+    In each turn some sets search, the others wait: those of the highest rank by hash for most of their
+    tokens. A search finds all partners of its set, which then leaves. A token whose sets are all joined
+    already can add nothing to the overlap of sets that are not, so it closes; a set without enough open
+    tokens has no partner left outside its component and leaves as well. So a family of copies ends after
+    few searches, and what has not searched in the end needs none.
     """
     n = len(sets)
     union, sizes = _Union(n), np.array([len(s) for s in sets])
     need = np.array([_need(int(k)) for k in sizes])
-    values, place, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, place, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = df[place] > 1  # tokens of one set only take no part
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[shared]
     token = place[shared].astype(np.int32)
-    del values, place, df, shared
-    mixed = None
-    rank = np.arange(n, dtype=np.uint64)
-    for turn in range(TURNS):
-        count = np.bincount(owner, minlength=n)
-        keep = (count >= need)[owner]
+    del place, df, shared
+    rank = (np.arange(n, dtype=np.uint64) + np.uint64(1)) * _A
+    rank = np.argsort(np.argsort(rank ^ (rank >> np.uint64(32)), kind="stable"), kind="stable")
+    searched, few = np.zeros(n, bool), n <= FEW
+    while True:
+        keep = (np.bincount(owner, minlength=n) >= need)[owner] & ~searched[owner]
         owner, token = owner[keep], token[keep]
-        live = np.flatnonzero(np.bincount(owner, minlength=n))
+        if not len(owner):
+            break
+        live = np.unique(owner)
         if len(live) < 2:
             break
-        rank = (rank + np.uint64(1)) * _A
-        rank ^= rank >> np.uint64(32)
-        by_rank = np.argsort(np.argsort(rank, kind="stable"), kind="stable")
-        best = np.full(token.max() + 1, -1, np.int64)
-        np.maximum.at(best, token, by_rank[owner])
-        hub = np.argsort(by_rank, kind="stable")[np.maximum(best, 0)]
-        pair, times = np.unique(owner.astype(np.int64) * n + hub[token], return_counts=True)
-        for p, t in zip(pair.tolist(), times.tolist(), strict=True):
-            x, y = divmod(p, n)
-            if x != y and 4 * t >= need[x] and union.find(x) != union.find(y) and linked(_overlap(sets[x], sets[y]), int(sizes[x]), int(sizes[y])):
-                union.join(x, y)
+        best = np.full(int(token.max()) + 1, -1, np.int64)
+        np.maximum.at(best, token, rank[owner])
+        leads = np.bincount(owner[rank[owner] == best[token]], minlength=n)
+        count = np.bincount(owner, minlength=n)
+        seeds = live[:-1] if few else live[2 * leads[live] >= count[live]]
+        cuts = np.searchsorted(owner, np.arange(n + 1))  # owners are in ascending order throughout
+        by_token = np.argsort(token, kind="stable")
+        lists, first = owner[by_token], np.searchsorted(token[by_token], np.arange(int(token.max()) + 2))
+        for x in seeds.tolist():
+            own = [lists[first[t] : first[t + 1]] for t in token[cuts[x] : cuts[x + 1]].tolist()]
+            for y, times in zip(*divide_skip(own, int(need[x])), strict=True):
+                if y != x and linked(int(times), int(sizes[x]), int(sizes[y])):
+                    union.join(x, int(y))
+        searched[seeds] = True
+        if few:
+            break
         roots = np.array([union.find(x) for x in range(n)], np.int32)
-        low, high = np.full(len(hub), n, np.int32), np.full(len(hub), -1, np.int32)
+        low, high = np.full(len(best), n, np.int32), np.full(len(best), -1, np.int32)
         np.minimum.at(low, token, roots[owner])
         np.maximum.at(high, token, roots[owner])
-        mixed = low < high
-        keep = mixed[token]
+        keep = (low < high)[token]
         owner, token = owner[keep], token[keep]
-    count = np.bincount(owner, minlength=n)
-    order = np.flatnonzero((count >= need) & (count > 0)).tolist()
-    if len(order) >= 2:
-        keep = (count >= need)[owner]
-        owner, token = owner[keep], token[keep]
-        cuts = np.searchsorted(owner, np.arange(n + 1))  # owners are in ascending order throughout
-        by_token = np.argsort(token, kind="stable")
-        lists, first = owner[by_token], np.searchsorted(token[by_token], np.arange(int(token.max()) + 2))
-        roots = [union.find(x) for x in order]
-        largest = Counter(roots).most_common(1)[0][0]
-        for x, root in zip(order, roots, strict=True):
-            if root != largest:
-                own = [lists[first[t] : first[t + 1]] for t in token[cuts[x] : cuts[x + 1]].tolist()]
-                for y, times in zip(*divide_skip(own, int(need[x])), strict=True):
-                    if y != x and linked(int(times), int(sizes[x]), int(sizes[y])):
-                        union.join(x, int(y))
     return [union.find(x) for x in range(n)]
 
 
-def _resolve(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
+RESOLVED_SQL = "k long, doc_id long, leader long, component long, split boolean"
+
+
+def _resolve(key: str, table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of each class of a group (or of a pair of its blocks) the first class of its component there, and the smallest id of that component."""
     k = table.column("k").to_numpy()
     _, first = np.unique(k, return_index=True)
     ids = table.column("doc_id").to_pylist()
     ids = [ids[i] for i in first]
-    raw = table.column("tokens")
-    roots = np.array(link_group([np.frombuffer(raw[int(i)].as_py(), "<u8") for i in first]))
+    raw, k = table.column("tokens"), k[first]
+    roots = link_group([np.frombuffer(raw[int(i)].as_py(), "<u8") for i in first])
     least: dict[int, int | None] = {}
-    for r, i in zip(roots.tolist(), ids, strict=True):
+    for r, i in zip(roots, ids, strict=True):
         least[r] = i if least.get(r) is None else least[r] if i is None else min(least[r], i)
-    yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array([least[r] for r in roots.tolist()], pa.int64())], names=["k", "component"])
+    columns = [pa.array(k), pa.array(ids, pa.int64()), pa.array(k[np.array(roots)]), pa.array([least[r] for r in roots], pa.int64()), pa.array([":" in key] * len(k))]
+    yield pa.RecordBatch.from_arrays(columns, names=["k", "doc_id", "leader", "component", "split"])
+
 
+def _components(sets: DataFrame, groups: DataFrame, most: int) -> DataFrame:
+    """k, component (smallest id) for the classes in ``groups`` (node, root).
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Groups whose sets have up to ``most`` bytes go to a task each. A larger one is dealt into blocks by hash;
+    each pair of blocks is searched by itself, and what the pairs find is joined. At most total / most groups
+    are that large, which bounds the broadcast.
+    """
+    met = sets.join(groups, sets["k"] == groups["node"]).select("root", "doc_id", "k", "tokens")
+    blocks = met.groupBy("root").agg(F.sum(F.length("tokens")).alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("b") > most)
+    blocks = cut(blocks.select(F.col("root").alias("big"), F.ceil(2 * F.col("b") / most).cast("int").alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: c != F.col("own"))
+    pairs = F.transform(others, lambda c: F.concat_ws(":", "root", F.least(c, F.col("own")), F.greatest(c, F.col("own"))))
+    dealt = met.join(F.broadcast(blocks), F.col("root") == F.col("big"), "left").withColumn("own", own)
+    dealt = dealt.select(F.explode(F.when(F.col("big").isNull(), F.array(F.col("root").cast("string"))).otherwise(pairs)).alias("key"), "doc_id", "k", "tokens")
+    found = cut(by_key(dealt, "key", _resolve, RESOLVED_SQL), "found")
+    whole = found.where("NOT split").select("k", "component")
+    if not blocks.limit(1).count():
+        return whole
+    split = found.where("split")
+    joined = cut(connected(split.select(F.col("leader").alias("a"), F.col("k").alias("b"))), "joined")
+    named = split.select("k", "doc_id").distinct().join(joined, F.col("k") == F.col("node"), "left").select("k", "doc_id", F.coalesce("root", "k").alias("r"))
+    least = named.groupBy("r").agg(F.min("doc_id").alias("component"))
+    return whole.union(named.join(least, "r").select("k", "component"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text) for every row of ``docs``.
 
     Words are runs of characters other than space and tab to carriage return, with A-Z lower-cased; a
@@ -384,7 +400,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Scale: whatever is shuffled is packed by token bucket (their number follows the input), deduplicated in
     each map task first, so copies cost one entry a task. Classes are matched by star ties, not pairs. Sets
-    travel once, to their group.
+    travel once, to their group; those of a group of more than ``group_bytes`` to each pair of its blocks that has theirs.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -395,11 +411,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = cut(digest.drop("low"), "rows")  # what is needed to the end; the wide table goes before
     full = digest.where("n > 0")
     classes = full.groupBy("k", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    counts = by_key(full.select("k", "low").mapInArrow(_low_postings(buckets), PACKED_SQL), "bucket", _recurring, "k long, c long")
+    counts = by_key(full.select("k", "low").mapInArrow(_low_postings(buckets), PACKED_SQL), "bucket", _recurring, "k long, c long", buckets)
     enough = 1 + F.floor(F.ceil(F.col("n") * NUM / DEN) / 5)
     likely = counts.groupBy("k").agg(F.sum("c").alias("c")).join(classes, "k").where(F.col("c") >= enough)
     likely = cut(likely.select("k", F.col("rep").alias("rep")), "likely")
-    classes = rows.where("n > 0").groupBy("k", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0").groupBy("k", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     drop_cut(digest)
     del digest, full, counts
     tidy(spark)
@@ -411,16 +427,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not sketch:
         sketch = np.zeros(SKETCH, "<i8").tobytes()
     seen = spark.sparkContext.broadcast(sketch)
-    ties = by_key(sets.select("k", "tokens").mapInArrow(_prefix_with(seen, buckets), PACKED_SQL), "bucket", _stars, "a long, b long")
+    ties = by_key(sets.select("k", "tokens").mapInArrow(_prefix_with(seen, buckets), PACKED_SQL), "bucket", _stars, "a long, b long", buckets)
     groups = cut(connected(ties), "groups")
     del ties, parts
     tidy(spark)
-    gathered = sets.join(groups, sets["k"] == groups["node"]).select("root", "doc_id", "k", "tokens")
-    found = cut(by_key(gathered, "root", _resolve, "k long, component long"), "found")
+    found = cut(_components(sets, groups, group_bytes), "components")
     drop_cut(sets)
-    named = classes.join(found, "k", "left").select(F.col("k").alias("ck"), F.col("k2").alias("ck2"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "k", "k2", "h").join(named, (F.col("k") == F.col("ck")) & (F.col("k2") == F.col("ck2")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"))
+    named = classes.join(found, "k", "left").select(F.col("k").alias("ck"), F.col("k2").alias("ck2"), "copies", F.coalesce("component", "rep").alias("component_id"))
+    named = cut(named, "named")
+    return _spread(rows, named)
+
+
+def _spread(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Each row with the component of its class; classes that hold many of the rows come by a broadcast, of at most HOT_SHARE rows."""
+    hot = F.col("copies") > F.greatest(F.lit(HOT_SHARE // 20), F.lit(-(-rows.count() // HOT_SHARE)))
+    same = (F.col("k") == F.col("ck")) & (F.col("k2") == F.col("ck2"))
+    first = rows.select("doc_id", "n", "k", "k2", "h").join(F.broadcast(named.where(hot)), same, "left")
+    met = first.where("ck IS NOT NULL OR n = 0").select("doc_id", "n", "component_id", "h")
+    rest = first.where("ck IS NULL AND n > 0").select("doc_id", "n", "k", "k2", "h").join(named.where(~hot), same, "left").select("doc_id", "n", "component_id", "h")
+    return met.union(rest).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,11 +453,11 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows without words and rows with a null id stay; rows that repeat id and text are one document.
     """
-    gone = cut(jaccard_components(docs, id_col, text_col).where("component_id < doc_id").select("doc_id", "text_hash").distinct(), "gone")
+    gone = cut(jaccard_components(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_h")).distinct(), "gone")
     few = small_enough(gone, BROADCAST_IDS)
-    gone = gone.select(F.col("doc_id").alias("_tw_gone"), F.col("text_hash").alias("_tw_hash"))
-    same = (docs[f"`{id_col}`"] == F.col("_tw_gone")) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col("_tw_hash"))
-    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    base = carry(docs, d=F.col(f"`{id_col}`"), h=F.xxhash64(F.col(f"`{text_col}`")))
+    left = base.join(F.broadcast(gone) if few else gone, (F.col("d") == F.col("gone")) & (F.col("h") == F.col("gone_h")), "left_anti")
+    return restore(left, docs.columns)
 
 
 def _prefix_with(seen, buckets: int):
