@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names kept of a text (the smallest), levels below which names are too common to tell texts apart, and how many names make a text long enough for that.
-KEPT, FIRST_LEVEL, ENOUGH = 64, 2, 8
+#: Names kept of a text (the smallest), and the level below which names are too common to tell texts apart.
+KEPT, FIRST_LEVEL = 64, 2
 _M1, _M2, _GOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,7 +76,7 @@ def _level(x: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _names(texts: list[str]) -> list[np.ndarray]:
-    """For each text the sorted distinct 32-bit names of its phrases."""
+    """For each text the sorted distinct 32-bit names of its phrases from FIRST_LEVEL up, and of the last, which is the whole text."""
     out: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
     live = [i for i, t in enumerate(texts) if t]
     if not live:
@@ -96,9 +96,7 @@ def _names(texts: list[str]) -> list[np.ndarray]:
         start, owner = np.cumsum(np.r_[0, (stop - start)[more]])[:-1], owner[more]
     done = []
     for levels in out:
-        high = [n for d, n in levels if d >= FIRST_LEVEL]
-        if sum(map(len, high)) < ENOUGH:
-            high = [n for _, n in levels]
+        high = [n for d, n in levels if d >= FIRST_LEVEL or len(n) == 1]
         done.append(np.unique(np.concatenate(high)) if high else np.zeros(0, np.uint32))
     return done
 
