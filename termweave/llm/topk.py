@@ -51,9 +51,12 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], ~scores[at]))[:k]]
 
 
+BLOCKS = pa.schema([("part", pa.int32()), ("made", pa.int32()), ("size", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
+
+
 def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Vectors of one length packed into matrices of at most ``rows`` rows: block, size, ids, data."""
-    schema = "block string, size int, ids binary, data binary"
+    """Vectors of one length packed into matrices of at most ``rows`` rows: part and made (which of the part) name one; size, ids, data."""
+    schema = "part int, made int, size int, ids binary, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyspark
@@ -63,11 +66,11 @@ def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
 
         def out(size: int) -> pa.RecordBatch:
             nonlocal made
-            made += 1
             own = held.pop(size)
             ids = np.array([i for i, _ in own], "<i8").tobytes()
             data = np.array([v for _, v in own], "<f8").tobytes()
-            return pa.RecordBatch.from_pylist([{"block": f"{part}-{made}", "size": size, "ids": ids, "data": data}], schema=pa.schema([("block", pa.string()), ("size", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]))
+            made += 1
+            return pa.RecordBatch.from_pylist([{"part": part, "made": made - 1, "size": size, "ids": ids, "data": data}], schema=BLOCKS)
 
         for batch in batches:
             for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
@@ -80,6 +83,15 @@ def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
     return vectors.mapInArrow(run, schema)
 
 
+def _numbered(blocks: DataFrame) -> tuple[Column, int]:
+    """A number from 0 on for each block, without gaps, and how many there are; a row a partition reaches the driver."""
+    offsets, total = [], 0
+    for row in sorted(blocks.groupBy("part").count().collect()):
+        offsets += [F.lit(row["part"]), F.lit(total).cast("long")]
+        total += row["count"]
+    return (F.create_map(*offsets)[F.col("part")] + F.col("made") if offsets else F.lit(0).cast("long")), total
+
+
 def _pack(ids: np.ndarray, scores: np.ndarray) -> bytes:
     return ids.astype("<i8").tobytes() + scores.astype("<i8").tobytes()
 
@@ -98,8 +110,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but those of the query's
     own id; ties go to smaller ids. Rows with a null id or vector, or with null or non-finite components, take
-    no part; vectors meet vectors of their own length only (empty ones score 0 with each other). Rows that
-    repeat an id and a vector count once. Scores that pass a long saturate. Fewer than k candidates: all.
+    no part; vectors meet vectors of their own length only (empty ones score 0 with each other). A candidate
+    that stands in several rows is listed as often; rows that repeat a query's id and vector are one query.
+    Scores that pass a long saturate. Fewer than k candidates: all.
 
     Scale: queries and rows are packed into matrices; each pair of a query tile and a row shard is one matrix
     product with a partial selection, so what leaves a pair is k rows a query. Lists of a tile are merged
@@ -107,14 +120,14 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """
     id_, v = F.col(f"`{id_col}`"), F.col(f"`{vector_col}`")
     usable = id_.isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    rows = vectors.where(F.coalesce(usable, F.lit(False))).select(id_.cast("long").alias("id"), quantised(v, scale).alias("v")).distinct()
+    rows = vectors.where(F.coalesce(usable, F.lit(False))).select(id_.cast("long").alias("id"), quantised(v, scale).alias("v"))
     rows = cut(rows, "vectors")
     shards = cut(_blocks(rows, TILE_ROWS), "shards")
-    tiles = cut(_blocks(rows.where(F.col("id") % every == 0), TILE_QUERIES), "tiles")
-    many = shards.count()
+    tiles = cut(_blocks(rows.where(F.col("id") % every == 0).distinct(), TILE_QUERIES), "tiles")
+    branch, many = _numbered(shards)
     spread = lambda df, n: df.repartition(max(1, min(n, MOST_PARTS)))
-    pairs = spread(tiles.select(F.col("block").alias("tile"), "size", F.col("ids").alias("q_ids"), F.col("data").alias("q")), tiles.count()).crossJoin(
-        spread(shards.select(F.xxhash64("block").alias("branch"), F.col("size").alias("c_size"), F.col("ids").alias("c_ids"), F.col("data").alias("c")), many)
+    pairs = spread(tiles.select(F.concat_ws("-", "part", "made").alias("tile"), "size", F.col("ids").alias("q_ids"), F.col("data").alias("q")), tiles.count()).crossJoin(
+        spread(shards.select(branch.alias("branch"), F.col("size").alias("c_size"), F.col("ids").alias("c_ids"), F.col("data").alias("c")), many)
     )  # blocks of the stated query set with blocks of rows; joined on the length, all would be one key
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +159,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     merged, left = pairs.mapInArrow(multiply, LISTS_SQL), many
     while left > 1:
         left = -(-left // FAN_IN)
-        merged = merged.withColumn("branch", F.pmod(F.col("branch"), F.lit(left)))
+        merged = merged.withColumn("branch", F.floor(F.col("branch") / FAN_IN).cast("long"))
         merged = by_key(merged.withColumn("key", F.concat_ws(":", "tile", "branch")), "key", merge, LISTS_SQL)
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
