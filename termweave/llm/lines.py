@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.util import carry, restore
+from termweave.llm.util import CARRIED, carry, cut, drop_cut, restore
 
 BLANKS = " \t\r"
+#: Windows of more than one in so many occurrences are met by a broadcast.
+HOT_SHARE = 1000
 
 
 def _windows(docs: DataFrame, size: int) -> DataFrame:
@@ -42,24 +44,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     holds what is left (an empty string if nothing is), and n_lines, n_removed follow (or replace columns of
     these names).
 
-    Scale: only hashes and positions are shuffled for the search; the first occurrence is a combinable
-    minimum, so a window that occurs in a third of all rows costs each map task one row. The texts move once,
-    to meet their removals.
+    Scale: only hashes and positions are shuffled for the search, once written as a table. The first
+    occurrence is a combinable minimum. Windows that make up over one in HOT_SHARE of all occurrences (at
+    most HOT_SHARE of them, so) are met by a broadcast of their first occurrences, the others by a shuffle:
+    no task takes the occurrences of one hot window. The texts move once, to meet their removals.
     """
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    found = _windows(docs.select(id_.alias("d"), F.xxhash64(text).alias("t"), text.alias("text")), window)
-    first = found.groupBy("a", "b").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["a", "b"]).where(~F.struct("d", "t", "pos").eqNullSafe(F.col("first")))
+    found = cut(_windows(docs.select(id_.alias("d"), F.xxhash64(text).alias("t"), text.alias("text")), window), "windows")
+    first = found.groupBy("a", "b").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = cut(first.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first", "n"), "first")
+    hot = F.col("n") > -(-found.count() // HOT_SHARE)
+    same = (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))
+    known = found.join(F.broadcast(first.where(hot)), same, "left")
+    rest = known.where("fa IS NULL").select(*found.columns).join(first.where(~hot), same)
+    later = known.where("fa IS NOT NULL").unionByName(rest).where(~F.struct("d", "t", "pos").eqNullSafe(F.col("first")))
     runs = later.groupBy("d", "t").agg(F.sort_array(F.collect_set("pos")).alias("p"))
-    runs = runs.select(
+    runs = cut(runs.select(
         F.col("d").alias("rd"),
         F.col("t").alias("rt"),
         F.filter("p", lambda x, i: (i == 0) | (x > F.get(F.col("p"), i - 1) + window)).alias("begins"),
         F.transform(F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get(F.col("p"), i + 1) > x + window)), lambda x: x + window).alias("ends"),
-    )
-    base = carry(docs, d=id_, t=F.xxhash64(text), own=text)
+    ), "runs")
+    drop_cut(found)
+    drop_cut(first)
+    own = F.col(f"{CARRIED}.`{text_col}`")
+    base = carry(docs, d=id_, t=F.xxhash64(text))
     joined = base.join(runs, F.col("d").eqNullSafe(F.col("rd")) & (F.col("t") == F.col("rt")), "left")
-    parts = joined.withColumn("lines", F.split("own", "\n", -1))
+    parts = joined.withColumn("lines", F.split(own, "\n", -1))
     bounds = F.sequence(F.lit(0), F.size("begins"))
     start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("ends"), k - 1))
     stop = lambda k: F.when(k == F.size("begins"), F.size("lines")).otherwise(F.get(F.col("begins"), k))
@@ -70,8 +81,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         parts,
         docs.columns,
         **{
-            text_col: F.when(none, F.col("own")).otherwise(F.array_join(left, "\n")),
-            "n_lines": F.when(F.col("own").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long"),
+            text_col: F.when(none, own).otherwise(F.array_join(left, "\n")),
+            "n_lines": F.when(own.isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long"),
             "n_removed": F.when(none, F.lit(0)).otherwise(gone).cast("long"),
         },
     )
