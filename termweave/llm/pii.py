@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.util import carry, restore
+from termweave.llm.util import CARRIED, carry, restore, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -68,8 +68,7 @@ def base_spans(text: str) -> list[Span]:
 # Candidates ---------------------------------------------------------------------------------------------
 
 _AT = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\sat\s", re.I)
-_BEFORE_AT = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?$")
-_AFTER_AT = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[A-Za-z0-9-]{1,63})+", re.I)
+_AFTER_AT = re.compile(r"\s?[A-Za-z0-9-]++(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[A-Za-z0-9-]++)+", re.I)
 _RUN = re.compile(r"[0-9]+(?:[\x20().-]{1,2}[0-9]+)*")
 #: Digits of a candidate, at most; the groups they come in may be any.
 _MOST_DIGITS = 19
@@ -78,10 +77,15 @@ _MOST_DIGITS = 19
 def candidates(text: str) -> Iterator[Span]:
     """High-recall spans, overlapping each other: whatever looks like an address, and every row of digit groups of a fitting length."""
     for m in _AT.finditer(text):
-        left = _BEFORE_AT.search(text, max(0, m.start() - 65), m.start())
-        right = left and _AFTER_AT.match(text, m.end())
+        end = m.start() - text[max(0, m.start() - 1) : m.start()].isspace()
+        begin = end
+        while begin and text[begin - 1] in _LOCAL:  # of any length; stops at the "at" before, so all in all linear
+            begin -= 1
+        while begin < end and text[begin] in "._%+-":
+            begin += 1
+        right = _AFTER_AT.match(text, m.end()) if begin < end else None
         if right:
-            yield "email", left.start(), right.end()
+            yield "email", begin, right.end()
     if not _DIGITS.search(text):
         return
     for run in _RUN.finditer(text):
@@ -320,8 +324,8 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", precision: float = 0.98) -> DataFrame:
-    """Adds (or replaces) n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans and redacted.
+def find_pii(docs: DataFrame, text_col: str = "text", precision: float = 0.98, columns: list[str] | None = None) -> DataFrame:
+    """Adds to ``columns`` (all by default), or replaces there, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans and redacted.
 
     The counts n_<kind> and base_sha256 are of the base patterns, all of which stay. ``spans`` holds these and
     what the boosted trees add (n_added; for example a number that a base pattern lost because another number
@@ -331,27 +335,28 @@ def find_pii(docs: DataFrame, text_col: str = "text", precision: float = 0.98) -
     worked on one by one, in linear time, without a shuffle.
     """
     trees, at = model(precision)
+    columns = docs.columns if columns is None else columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(i, 256), []
-                for text in part.column("own").to_pylist():
+            for part, texts in slices(batch, texts_of(batch, text_col if text_col in columns else None)):
+                rows = []
+                for text in texts:
                     own = text or ""
                     base = base_spans(own)
                     more = added_spans(own, base, trees, at)
                     counts = [sum(k == kind for k, *_ in base) for kind in KINDS]
                     rows.append((*counts, len(more), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), None if text is None else redact(own, base + more)))
-                columns = zip(*rows, strict=True)
+                found = zip(*rows, strict=True)
                 types = [pa.int64()] * 5 + [pa.string()] * 3
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[part.schema.names[0], *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(found, types, strict=True))], names=[CARRIED, *names])
 
     names = [f"n_{k}" for k in KINDS] + ["n_added", "base_sha256", "spans", "redacted"]
-    base = carry(docs, own=F.col(f"`{text_col}`"))
-    schema = base.select("_tw_row").schema
+    base = carry(docs, columns, **({} if text_col in columns else {"own": F.col(f"`{text_col}`")}))
+    schema = base.select(CARRIED).schema
     for n in names:
         schema = schema.add(n, "long" if n.startswith("n_") else "string")
-    return restore(base.mapInArrow(run, schema), docs.columns, **{n: F.col(n) for n in names})
+    return restore(base.mapInArrow(run, schema), columns, **{n: F.col(n) for n in names})
 
 
 def redact(text: str, spans: list[Span]) -> str:

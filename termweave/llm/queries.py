@@ -45,7 +45,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = pii.find_pii(_table(spark, sf_dir, "documents", "doc_id", "text"), columns=["doc_id"])
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
 
 
