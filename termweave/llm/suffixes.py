@@ -22,7 +22,7 @@ MATCH, ANCHOR = 50, 24
 SIDE = MATCH - ANCHOR
 WIDE = SIDE + MATCH  # an anchor with what may stand on either side of it
 SHALLOW = 24
-BLOB_BYTES, BUCKET_BYTES = 2 << 20, 24 << 20
+BLOB_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
 LAST = (1 << 63) - 1
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _LOW47 = np.uint64((1 << 48) - 2)
@@ -374,15 +374,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     blobs = cut(own.mapInArrow(_pack, BLOBS_SQL), "blobs")
-    total = blobs.agg(F.sum(F.length("data")).alias("b")).first()["b"] or 0
+    sums = blobs.agg(F.sum(F.length("data")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    total, many = sums["b"] or 0, sums["n"]
     buckets = max(16, -(-3 * total // BUCKET_BYTES))
     hashes = blobs.select("blob", "data", "ids", "more").mapInArrow(_anchor_hashes(buckets), BUCKETS_SQL)
-    again = cut(by_key(hashes, "bucket", _recurring, BLOBS_SQL), "again")
-    given = _by_blob(blobs.union(again), _give(buckets), BUCKETS_SQL)
-    masks = cut(by_key(given, "bucket", _judge, BLOBS_SQL), "masks")
+    again = cut(by_key(hashes, "bucket", _recurring, BLOBS_SQL, buckets), "again")
+    given = by_key(blobs.union(again), "blob", _give(buckets), BUCKETS_SQL, many)
+    masks = cut(by_key(given, "bucket", _judge, BLOBS_SQL, buckets), "masks")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<long>" if with_text else "")
-    return _by_blob(blobs.union(again).union(masks), _remove(with_text), out)
-
-
-def _by_blob(rows: DataFrame, work, schema: str) -> DataFrame:
-    return by_key(rows, "blob", work, schema)
+    return by_key(blobs.union(again).union(masks), "blob", _remove(with_text), out, many)
