@@ -32,11 +32,11 @@ SKETCH = 1 << 20
 BUCKET_BYTES = 8 << 20
 BROADCAST_IDS = 500_000
 #: Bytes of sets that a task takes of one group; a larger group is dealt into blocks of half as many.
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 32 << 20
 #: A class of more than this share of all rows is met by a broadcast (so at most as many classes as this), others by a shuffle.
 HOT_SHARE = 1000
-#: In a group of so few sets all search at once; the links are the same.
-FEW = 16
+#: Turns in which few sets search, and sets of a group that has none of these; the links are the same.
+TURNS, FEW = 6, 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -295,11 +295,12 @@ def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.nda
 def link_group(sets: list[np.ndarray]) -> list[int]:
     """For each set of a group the first set of its component, by exact links, all found by the T-occurrence search.
 
-    In each turn some sets search, the others wait: those of the highest rank by hash for most of their
-    tokens. A search finds all partners of its set, which then leaves. A token whose sets are all joined
+    A search finds all partners of its set, which then leaves the lists. A token whose sets are all joined
     already can add nothing to the overlap of sets that are not, so it closes; a set without enough open
-    tokens has no partner left outside its component and leaves as well. So a family of copies ends after
-    few searches, and what has not searched in the end needs none.
+    tokens has no partner left outside its component and leaves as well. Sets of the largest component need
+    not search, as the other set of any link to it does. In the first TURNS turns one set of each cluster
+    searches (those of the highest rank by hash for most of their tokens, and one of the largest component),
+    which joins a family of copies by few searches; then all others that are left search.
     """
     n = len(sets)
     union, sizes = _Union(n), np.array([len(s) for s in sets])
@@ -311,20 +312,26 @@ def link_group(sets: list[np.ndarray]) -> list[int]:
     del place, df, shared
     rank = (np.arange(n, dtype=np.uint64) + np.uint64(1)) * _A
     rank = np.argsort(np.argsort(rank ^ (rank >> np.uint64(32)), kind="stable"), kind="stable")
-    searched, few = np.zeros(n, bool), n <= FEW
-    while True:
-        keep = (np.bincount(owner, minlength=n) >= need)[owner] & ~searched[owner]
+    searched, roots = np.zeros(n, bool), np.arange(n, dtype=np.int32)
+    for turn in itertools.count(0 if n > FEW else TURNS):
+        count = np.bincount(owner, minlength=n)
+        keep = ((count >= need) & ~searched)[owner]
         owner, token = owner[keep], token[keep]
-        if not len(owner):
-            break
-        live = np.unique(owner)
+        live = np.flatnonzero((count >= need) & ~searched & (count > 0))
         if len(live) < 2:
             break
-        best = np.full(int(token.max()) + 1, -1, np.int64)
-        np.maximum.at(best, token, rank[owner])
-        leads = np.bincount(owner[rank[owner] == best[token]], minlength=n)
-        count = np.bincount(owner, minlength=n)
-        seeds = live[:-1] if few else live[2 * leads[live] >= count[live]]
+        kinds, many = np.unique(roots[live], return_counts=True)
+        largest = roots[live] == kinds[np.argmax(many)]
+        asking = live[~largest] if len(kinds) > 1 else live[:0]
+        if turn < TURNS:
+            best = np.full(int(token.max()) + 1, -1, np.int64)
+            np.maximum.at(best, token, rank[owner])
+            leads, count = np.bincount(owner[rank[owner] == best[token]], minlength=n), np.bincount(owner, minlength=n)
+            seeds = np.union1d(asking[2 * leads[asking] >= count[asking]], live[largest][np.argmax(rank[live[largest]])])
+        else:
+            seeds = asking if len(kinds) > 1 and many.max() > 1 else live[:-1]
+        if not len(asking) and turn and len(kinds) == 1:
+            break
         cuts = np.searchsorted(owner, np.arange(n + 1))  # owners are in ascending order throughout
         by_token = np.argsort(token, kind="stable")
         lists, first = owner[by_token], np.searchsorted(token[by_token], np.arange(int(token.max()) + 2))
@@ -334,10 +341,10 @@ def link_group(sets: list[np.ndarray]) -> list[int]:
                 if y != x and linked(int(times), int(sizes[x]), int(sizes[y])):
                     union.join(x, int(y))
         searched[seeds] = True
-        if few:
+        if turn >= TURNS:
             break
         roots = np.array([union.find(x) for x in range(n)], np.int32)
-        low, high = np.full(len(best), n, np.int32), np.full(len(best), -1, np.int32)
+        low, high = np.full(int(token.max()) + 1, n, np.int32), np.full(int(token.max()) + 1, -1, np.int32)
         np.minimum.at(low, token, roots[owner])
         np.maximum.at(high, token, roots[owner])
         keep = (low < high)[token]
