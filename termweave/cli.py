@@ -42,6 +42,9 @@ def main(argv: list[str] | None = None) -> None:
     elif args.verb == "match":
         dictionary = terms.read_dictionary(spark, settings.artifact_path)
         requests = match.requests_of(spark.read.schema(match.REQUEST).json(args.requests))
+        if left_out := match.rejected(requests).count():
+            print(json.dumps({"rejected_requests": left_out}))
+        requests = requests.where(match.valid_request())
         found = match.match(requests, dictionary, settings.review_threshold, settings.force_review_margin, settings.suspect_threshold, settings.max_span_tokens)
         audit.save_matches(match.responses(requests, found, dictionary.version), settings.audit_path)
     else:

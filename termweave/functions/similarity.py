@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -83,6 +84,21 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(whole, part * partial_ratio(a, b), 0.95 * part * _partial_token_ratio(a, b))
 
 
+def similarity_cap(a: Column, b: Column) -> Column:
+    """A native upper bound of ``weighted_ratio`` (0 to 1), for a first choice among pairs.
+
+    Of a one-word ``b`` that is no word of ``a``, no more letters can be in common than stand in both, in
+    whatever order or stretch; with words in common, or of several words, the bound is 1.
+    """
+    kept = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))  # noqa: E731  # letters of x that y has
+    la, lb = F.length(a), F.length(b)
+    short, long = F.least(la, lb), F.greatest(la, lb)
+    both = F.least(kept(a, b), kept(b, a))
+    part = F.when(long < 1.5 * short, 1.0).when(long <= 8 * short, 0.9).otherwise(0.6)
+    bound = F.greatest(2.0 * both / (la + lb), part * 2.0 * both / (short + both))
+    return F.when((short == 0) | (both == 0), F.when(short == 0, 1.0).otherwise(0.0)).when(F.contains(b, F.lit(" ")) | F.array_contains(F.split(a, " "), b), 1.0).otherwise(bound)
+
+
 @F.pandas_udf(DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from termweave.functions import text
+from termweave.plans.stage import join_counted, stage
 
 #: The thresholds and weights of detection.
 HINT, SUSPECT, MAX_TOKENS = 0.52, 0.30, 5
@@ -42,15 +47,14 @@ def windows(requests: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """Adds scripts, language (struct), mixed_script, exact_key and normalized; each distinct span is worked on once."""
-    spans = rows.select("span_text", "locale").distinct()
-    spans = spans.withColumn("scripts", text.scripts(F.col("span_text"))).withColumn("spoken", text.language(F.col("scripts"), F.col("locale")))
-    stripped = text.strip_structured(F.col("span_text"))
-    spans = spans.withColumn("exact_key", text.normalize_term(F.col("span_text"))).withColumn("stripped", stripped)
+    """Adds scripts, spoken (language), mixed_script, exact_key and normalized; each distinct span is worked on once, and a frequent one is no hot key."""
+    rows = stage(rows.withColumn("_l", F.coalesce("locale", F.lit(""))).drop("locale"), "rows")
+    spans = rows.groupBy("span_text", "_l").agg(F.count(F.lit(1)).alias("_n"))
+    spans = spans.withColumn("scripts", text.scripts(F.col("span_text"))).withColumn("spoken", text.language(F.col("scripts"), F.col("_l")))
+    spans = spans.withColumn("exact_key", text.normalize_term(F.col("span_text"))).withColumn("stripped", text.strip_structured(F.col("span_text")))
     spans = spans.withColumn("normalized", F.when(F.col("stripped") != "", F.col("stripped")).otherwise(text.normalize_term(F.col("span_text"), F.col("spoken.language"))))
-    spans = spans.withColumn("mixed_script", (F.size("scripts") > 1).cast("double")).drop("stripped")
-    key = rows.withColumn("_l", F.coalesce("locale", F.lit(""))).drop("locale")
-    return key.join(spans.withColumn("_l", F.coalesce("locale", F.lit(""))), ["span_text", "_l"]).drop("_l")
+    spans = stage(spans.withColumn("mixed_script", (F.size("scripts") > 1).cast("double")).drop("stripped"), "spans")
+    return join_counted(rows, spans, ["span_text", "_l"], "_n").drop("_l")
 
 
 def disagreement(rows: DataFrame, requests: DataFrame) -> DataFrame:
@@ -62,21 +66,42 @@ def disagreement(rows: DataFrame, requests: DataFrame) -> DataFrame:
     return met.withColumn("nbest_disagreement", F.when(F.col("others").isNull(), 0.0).otherwise(1.0 - hits / F.size("others"))).drop("others")
 
 
+def risk_score() -> Column:
+    """The weighted sum of the kinds of evidence."""
+    return sum((F.lit(w) * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))
+
+
 def suspicious(rows: DataFrame, threshold: float = SUSPECT) -> DataFrame:
     """Windows whose evidence suffices; rows have exact and neighbor besides."""
     hint = (F.col("neighbor") >= HINT).cast("double")
     out = rows.withColumn("neighbor_hint", hint).withColumn("oov", (~F.col("exact")).cast("double"))
     out = out.withColumn("boundary_risk", F.when(F.col("width") > 1, hint).otherwise(0.0))
-    out = out.withColumn("risk", sum((F.lit(w) * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0)))
+    out = out.withColumn("risk", risk_score())
     trigger = (F.col("neighbor_hint") > 0) | (F.col("low_confidence") >= 0.25) | (F.col("nbest_disagreement") >= 0.5) | (F.col("mixed_script") > 0)
     fine = F.col("exact") & (F.col("low_confidence") == 0) & (F.col("mixed_script") == 0)
     return out.where((F.col("risk") >= threshold) & trigger & ~fine)
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _chosen(spans: pa.Array) -> pa.Array:
+    """Of each list of (s, e), best first, the places of those that overlap none chosen before."""
+    out = []
+    for row in spans.to_pylist():
+        held: list[tuple[int, int]] = []
+        places = []
+        for i, span in enumerate(row or []):
+            at = bisect.bisect_left(held, (span["e"], -1))  # chosen ones do not overlap, so only the last that begins before the end may
+            if not at or held[at - 1][1] <= span["s"]:
+                held.insert(at, (span["s"], span["e"]))
+                places.append(i)
+        out.append(places)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def non_overlapping(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Greedily the strongest windows of each request that overlap none chosen before; ``keep`` travels along."""
-    order = F.struct(-F.col("neighbor"), -F.round("risk", 4), -F.col("width"), F.col("width").alias("size"), F.col("first").alias("at"), F.col("char_start").alias("s"), F.col("char_end").alias("e"), F.struct(*keep).alias("row"))
+    order = F.struct(-F.col("neighbor"), -F.bround("risk", 4), -F.col("width"), F.col("width").alias("size"), F.col("first").alias("at"), F.col("char_start").alias("s"), F.col("char_end").alias("e"), F.struct(*keep).alias("row"))
     listed = rows.groupBy("request_id").agg(F.sort_array(F.collect_list(order)).alias("all"))
-    nothing = F.slice("all", 1, 0)
-    chosen = F.aggregate("all", nothing, lambda acc, x: F.when(F.exists(acc, lambda o: (x["s"] < o["e"]) & (x["e"] > o["s"])), acc).otherwise(F.array_append(acc, x)))
-    return listed.select("request_id", F.explode(chosen).alias("c")).select("request_id", "c.row.*")
+    listed = listed.withColumn("places", _chosen(F.transform("all", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+    chosen = F.transform("places", lambda i: F.get(F.col("all"), i)["row"])
+    return listed.select("request_id", F.explode(chosen).alias("c")).select("request_id", "c.*")

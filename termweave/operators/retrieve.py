@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ BROADCAST_NAMES = 100_000
 CUTOFF, SEARCH_CUTOFF = 35.0, 25.0
 
 
-def _small(dictionary: Dictionary) -> bool:
-    return dictionary.aliases().limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+def small(names: DataFrame) -> bool:
+    """Whether a table of names or forms may be broadcast."""
+    return names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
 
 
 def _scored_blocks(keys: DataFrame, names: DataFrame, cutoff: float, most: int) -> DataFrame:
@@ -39,7 +42,7 @@ def similar_names(keys: DataFrame, dictionary: Dictionary, cutoff: float, most:
     broadcast and with the same result.
     """
     names = dictionary.aliases().select("entry_id", "place", "alias")
-    if _small(dictionary):
+    if small(names):
         pairs = keys.crossJoin(F.broadcast(names))
         scored = pairs.withColumn("similarity", weighted_ratio_udf("normalized", "alias")).where(F.col("similarity") >= cutoff)
     else:
@@ -58,13 +61,29 @@ def retrieve(keys: DataFrame, dictionary: Dictionary, most: int = 20) -> DataFra
     alike = similar_names(texts.select("normalized"), dictionary, CUTOFF, most)
     best = alike.groupBy("normalized", "entry_id").agg((F.max("similarity") / 100).alias("orthographic"), F.max_by("alias", F.struct("similarity", -F.col("rank"))).alias("matched_alias"))
     nothing = (F.lit(None).cast("double").alias("orthographic"), F.lit(None).cast("string").alias("matched_alias"))
+    exact = exact_entries(texts, dictionary).select("normalized", "entry_id", *nothing)
+    sounding = sounding_entries(texts, dictionary, most).select("normalized", "entry_id", *nothing)
+    return merged([best, exact, sounding])
+
+
+def exact_entries(keys: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """normalized, entry_id for the entries that have the name itself."""
     names = dictionary.aliases().select(F.col("alias").alias("normalized"), "entry_id").distinct()
-    exact = texts.select("normalized").join(names, "normalized").select("normalized", "entry_id", *nothing)
-    grams = texts.select("normalized", F.explode("sounds").alias("sound")).select("normalized", F.explode(phonetics.ngrams(F.col("sound"))).alias("gram"))
+    return keys.select("normalized").distinct().join(names, "normalized")
+
+
+def sounding_entries(keys: DataFrame, dictionary: Dictionary, most: int) -> DataFrame:
+    """normalized, entry_id, hits, rank of the ``most`` entries that share most sound trigrams with each key's sounds; ties to earlier entries."""
+    grams = keys.select("normalized", F.explode("sounds").alias("sound")).select("normalized", F.explode(phonetics.ngrams(F.col("sound"))).alias("gram"))
     shared = grams.join(dictionary.grams(), "gram").groupBy("normalized", "entry_id").agg(F.count(F.lit(1)).alias("hits"))
     order = Window.partitionBy("normalized").orderBy(F.desc("hits"), "entry_id")
-    sounding = shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("normalized", "entry_id", *nothing)
-    return best.unionByName(exact).unionByName(sounding).groupBy("normalized", "entry_id").agg(F.max("orthographic").alias("orthographic"), F.max("matched_alias").alias("matched_alias"))
+    return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def merged(channels: list[DataFrame]) -> DataFrame:
+    """An entry once a key, with the score of the channel that gave one."""
+    every = functools.reduce(DataFrame.unionByName, channels)
+    return every.groupBy("normalized", "entry_id").agg(F.max("orthographic").alias("orthographic"), F.max("matched_alias").alias("matched_alias"))
 
 
 def best_sound(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -82,4 +101,4 @@ def search(queries: DataFrame, dictionary: Dictionary, limit: int = 10) -> DataF
     order = Window.partitionBy("normalized").orderBy(F.desc("s"), "first")
     top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     found = top.join(dictionary.entries, "entry_id").join(keys, "normalized")
-    return found.select("query", "rank", "concept_id", "term", "aliases", "language", "risk_tier", "provenance", F.round(F.col("s") / 100, 4).alias("similarity"))
+    return found.select("query", "rank", "concept_id", "term", "aliases", "language", "risk_tier", "provenance", F.bround(F.col("s") / 100, 4).alias("similarity"))

@@ -2,64 +2,91 @@
 
 from __future__ import annotations
 
+import bisect
+import collections
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from termweave.functions import text
 from termweave.plans.match import match, requests_of
 from termweave.plans.stage import stage
 from termweave.sources.terms import Dictionary
 
-PAIRS = "case_id string, p int, g int, exact boolean"
-
 
 def ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.round(part / whole, 4)).otherwise(0.0)
+    return F.when(whole > 0, F.bround(part / whole, 4)).otherwise(0.0)
 
 
 def pair_spans(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """case_id, p, g, exact: spans of a case matched one to one, equal bounds first, then as many overlaps as possible.
 
-    A case's few spans meet in one group; overlaps are tried in the order of their share of both spans.
+    The spans of a case meet as two arrays. After the equal ones, the pairs of the largest share of both spans are taken
+    first; then each gold span left over looks, breadth first, for a chain of exchanges that frees a prediction.
     """
-
-    def work(left, right):
-        import pandas as pd
-
-        case = (left if len(left) else right)["case_id"].iloc[0]
-        spans = {int(r.p): (r.char_start, r.char_end) for r in left.sort_values("p").itertuples()}
-        marks = {int(r.g): (r.char_start, r.char_end) for r in right.sort_values("g").itertuples()}
-        out: list[tuple[int, int, bool]] = []
-        free = dict(spans)
-        for g, bounds in marks.items():
-            p = next((p for p, b in free.items() if b == bounds), None)
-            if p is not None:
-                del free[p]
-                out.append((p, g, True))
-        rest = [g for g in marks if g not in {x[1] for x in out}]
-
-        def shares(g: int) -> list[int]:
-            a, b = marks[g]
-            found = [((min(b, d) - max(a, c)) / (max(b, d) - min(a, c)), -p) for p, (c, d) in free.items() if c < b and d > a]
-            return [-p for _, p in sorted(found, reverse=True)]
-
-        wish, holder = {g: shares(g) for g in rest}, {}
-
-        def place(g: int, tried: set[int]) -> bool:
-            for p in wish[g]:
-                if p not in tried:
-                    tried.add(p)
-                    if p not in holder or place(holder[p], tried):
-                        holder[p] = g
-                        return True
-            return False
-
-        for g in rest:
-            place(g, set())
-        out += [(p, g, False) for p, g in holder.items()]
-        return pd.DataFrame([(case, *x) for x in out], columns=["case_id", "p", "g", "exact"])
-
-    return predicted.select("case_id", "p", "char_start", "char_end").groupBy("case_id").cogroup(gold.select("case_id", "g", "char_start", "char_end").groupBy("case_id")).applyInPandas(work, PAIRS)
+    listed = lambda df, place: df.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("char_start", "char_end", F.col(place).alias("at")))).alias(place))
+    met = listed(predicted, "p").join(listed(gold, "g"), "case_id")
+    return met.select("case_id", F.explode(_paired("p", "g")).alias("x")).select("case_id", "x.*")
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("p", IntegerType()), StructField("g", IntegerType()), StructField("exact", BooleanType())])))
+def _paired(predicted: pa.Array, gold: pa.Array) -> pa.Array:
+    out = []
+    for spans, marks in zip(predicted.to_pylist(), gold.to_pylist(), strict=True):
+        spans, marks = ([(x["char_start"], x["char_end"], x["at"]) for x in side] for side in (spans, marks))
+        waiting: dict[tuple[int, int], list[int]] = {}
+        for a, b, p in reversed(spans):
+            waiting.setdefault((a, b), []).append(p)
+        pairs, rest, used = [], [], set()
+        for a, b, g in marks:
+            if waiting.get((a, b)):
+                used.add(p := waiting[a, b].pop())
+                pairs.append({"p": p, "g": g, "exact": True})
+            else:
+                rest.append((a, b, g))
+        found = _most_overlaps([s for s in spans if s[2] not in used], rest)
+        out.append(pairs + [{"p": p, "g": g, "exact": False} for g, p in found.items()])
+    return pa.array(out, pa.list_(pa.struct([("p", pa.int32()), ("g", pa.int32()), ("exact", pa.bool_())])))
+
+
+def _most_overlaps(spans: list[tuple[int, int, int]], marks: list[tuple[int, int, int]]) -> dict[int, int]:
+    """Gold place -> prediction place, for as many as can overlap one to one; both lists ascend by start."""
+    touching: dict[int, list[int]] = {}
+    edges = []
+    longest = max((b - a for a, b, _ in spans), default=0)
+    for a, b, g in marks:
+        at = bisect.bisect_left(spans, (a - longest, -1, -1))
+        while at < len(spans) and spans[at][0] < b:
+            c, d, p = spans[at]
+            if d > a:
+                touching.setdefault(g, []).append(p)
+                edges.append((-(min(b, d) - max(a, c)) / (max(b, d) - min(a, c)), g, p))
+            at += 1
+    of_gold: dict[int, int] = {}
+    of_span: dict[int, int] = {}
+    for _, g, p in sorted(edges):
+        if g not in of_gold and p not in of_span:
+            of_gold[g], of_span[p] = p, g
+    for g in (g for *_, g in marks if g in touching and g not in of_gold):
+        came: dict[int, int] = {}  # prediction -> the gold span that reached it
+        queue, free = collections.deque([g]), None
+        while queue and free is None:
+            x = queue.popleft()
+            for p in touching[x]:
+                if p not in came:
+                    came[p] = x
+                    if p not in of_span:
+                        free = p
+                        break
+                    queue.append(of_span[p])
+        while free is not None:  # each gold span of the chain takes the prediction that it reached
+            x = came[free]
+            before = of_gold.get(x)
+            of_gold[x], of_span[free] = free, x
+            free = before if x != g else None
+    return of_gold
 
 
 def outcomes(records: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:

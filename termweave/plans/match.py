@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import phonetics, text
 from termweave.functions.ids import span_id
-from termweave.functions.similarity import ratio_udf, weighted_ratio_udf
+from termweave.functions.similarity import ratio_udf, similarity_cap, weighted_ratio_udf
 from termweave.operators import detect, retrieve
 from termweave.plans.stage import stage
 from termweave.sources.terms import Dictionary, pronounce
@@ -30,9 +30,65 @@ def requests_of(rows: DataFrame) -> DataFrame:
 
 
 def valid_request() -> Column:
-    """Whether a request keeps to the limits: 1 to 100,000 characters, top_k 1 to 20, confidences 0 to 1."""
-    unit = lambda x: x["confidence"].isNull() | x["confidence"].between(0, 1)
-    return F.coalesce(F.length("text").between(1, 100_000) & F.col("top_k").between(1, 20) & F.forall("tokens", unit) & F.forall("n_best", unit), F.lit(False))
+    """Whether a request keeps to the limits: 1 to 100,000 characters, top_k 1 to 20, confidences 0 to 1, times from 0 on, tokens and hypotheses with a text."""
+    unit = lambda x: x["text"].isNotNull() & (x["confidence"].isNull() | x["confidence"].between(0, 1))
+    timed = lambda x: unit(x) & (x["start_time"].isNull() | (x["start_time"] >= 0)) & (x["end_time"].isNull() | (x["end_time"] >= 0))
+    return F.coalesce(F.length("text").between(1, 100_000) & F.col("top_k").between(1, 20) & F.forall("tokens", timed) & F.forall("n_best", unit), F.lit(False))
+
+
+def rejected(requests: DataFrame) -> DataFrame:
+    """The requests that ``match`` leaves out, as they break a limit."""
+    return requests.where(~valid_request())
+
+
+def neighbor_score(feature: Column, orthographic: Column) -> Column:
+    """How near an entry is: 0.65 by sound, 0.35 by spelling; what is missing counts as 0."""
+    return 0.65 * F.coalesce(feature, F.lit(0.0)) + 0.35 * F.coalesce(orthographic, F.lit(0.0))
+
+
+def language_score(entry: Column, languages: Column) -> Column:
+    """1 for the first language, 0.7 for another, 0.4 if the first is undetermined."""
+    first = F.get(languages, F.lit(0))
+    return F.when(entry == first, 1.0).when(F.array_contains(languages, entry), 0.7).otherwise(F.when(first == "und", 0.4).otherwise(0.0))
+
+
+def final_score(**parts: Column) -> Column:
+    """The weighted sum of SCORE's parts, to four decimals."""
+    return F.bround(sum((F.lit(w) * parts[c] for c, w in SCORE.items()), F.lit(0.0)), 4)
+
+
+def decision_reason(top: Column, next_score: Column, pronunciations: Column, scripts: Column, spoken: Column, strengths: Column, review: float = REVIEW, margin: float = MARGIN) -> Column:
+    """Why a span is abstained from (one reason) or reviewed (the first reason says so); ``top`` has score and risk_tier."""
+    reasons = F.array_compact(F.array(
+        F.lit("candidate_above_review_threshold"),
+        F.when(top["score"] - F.coalesce(next_score, F.lit(0.0)) < margin, "low_margin"),
+        F.when(F.lower(top["risk_tier"]).isin(HIGH_RISK), "high_risk_medication"),
+        F.when(F.size(scripts) > 1, "mixed_script"),
+        F.when(spoken["confidence"] < 0.5, "language_uncertain"),
+        F.when(F.size(strengths) > 0, "dose_adjacent"),
+    ))
+    return (
+        F.when(F.size(pronunciations) == 0, F.array(F.lit("pronunciation_failed")))
+        .when((spoken["language"] == "und") | (F.array_join(scripts, "+") == "Zyyy"), F.array(F.lit("language_or_script_unresolved")))
+        .when(top.isNull() | (top["score"] < review), F.array(F.lit("below_review_threshold")))
+        .otherwise(reasons)
+    )
+
+
+def decision(reasons: Column) -> Column:
+    return F.when(F.get(reasons, F.lit(0)) == "candidate_above_review_threshold", "review").otherwise("abstain")
+
+
+def context(text_: Column, start: Column, end: Column) -> Column:
+    """A span with CONTEXT characters on either side."""
+    begin = F.greatest(F.lit(0), start - CONTEXT)
+    return F.substring(text_, begin + 1, F.least(F.length(text_), end + CONTEXT) - begin)
+
+
+def audio_range(tokens: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """The first start and the last end of the tokens that overlap a span; null without any."""
+    heard = F.filter(tokens, lambda t: (t["char_start"] < end) & (t["char_end"] > start))
+    return F.array_min(F.transform(heard, lambda t: t["start_time"])), F.array_max(F.transform(heard, lambda t: t["end_time"]))
 
 
 def neighbor_scores(keys: DataFrame, dictionary: Dictionary) -> DataFrame:
@@ -43,18 +99,17 @@ def neighbor_scores(keys: DataFrame, dictionary: Dictionary) -> DataFrame:
     pairs = found.select("normalized", "language", "entry_id", F.explode("sounds").alias("sound")).join(dictionary.forms(), "entry_id")
     sound = retrieve.best_sound(pairs, ["normalized", "language", "entry_id"])
     near = found.join(sound, ["normalized", "language", "entry_id"], "left")
-    score = 0.65 * F.coalesce("feature", F.lit(0.0)) + 0.35 * F.coalesce("orthographic", F.lit(0.0))
-    return near.groupBy("normalized", "language").agg(F.max(score).alias("neighbor"))
+    return near.groupBy("normalized", "language").agg(F.max(neighbor_score(F.col("feature"), F.col("orthographic"))).alias("neighbor"))
 
 
 def worth_scoring(keys: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Keys that can reach the hint: some entry is near enough by its sound and the most similar of all its names.
 
-    Lossless (what is retrieved is never more similar than that), and most keys leave by the first, native
-    test: spelling gives at most 0.35, so the sound has to give the rest.
+    Lossless (what is retrieved is never more similar than that), and most keys leave by the native tests:
+    spelling gives at most 0.35, so the sound has to give the rest; and letters bound the likeness of spellings.
     """
     least = (detect.HINT - 0.35) / 0.65 - 1e-9
-    forms, small = dictionary.forms(), retrieve._small(dictionary)
+    forms, small = dictionary.forms(), retrieve.small(dictionary.forms())
     spoken = pronounce(keys, dictionary.curated(), dictionary.lexicon).select("normalized", "language", F.explode("pronunciations").alias("p")).select("normalized", "language", F.col("p.value").alias("sound"))
     # the edit distance is at least the difference of lengths
     a, b = F.length("sound"), F.length("form")
@@ -62,7 +117,9 @@ def worth_scoring(keys: DataFrame, dictionary: Dictionary) -> DataFrame:
     near = near.withColumn("feature", phonetics.feature_similarity(F.col("sound"), F.col("form"))).where(F.col("feature") >= least)
     near = near.groupBy("normalized", "language", "entry_id").agg(F.max("feature").alias("feature"))
     names = dictionary.aliases().select("entry_id", "alias")
-    pairs = near.join(F.broadcast(names) if small else names, "entry_id").withColumn("similarity", weighted_ratio_udf("normalized", "alias") / 100)
+    pairs = near.join(F.broadcast(names) if retrieve.small(names) else names, "entry_id")
+    pairs = pairs.where(0.65 * F.col("feature") + 0.35 * similarity_cap(F.col("normalized"), F.col("alias")) >= detect.HINT - 1e-9)
+    pairs = pairs.withColumn("similarity", weighted_ratio_udf("normalized", "alias") / 100)
     return pairs.where(0.65 * F.col("feature") + 0.35 * F.col("similarity") >= detect.HINT - 1e-9).select("normalized", "language").distinct()
 
 
@@ -70,7 +127,7 @@ def detected_spans(requests: DataFrame, dictionary: Dictionary, threshold: float
     """The suspicious, non-overlapping spans of each request with their evidence."""
     rows = detect.disagreement(detect.described(detect.windows(requests, max_tokens)), requests)
     names = dictionary.aliases().select(F.col("alias").alias("exact_key")).distinct().withColumn("known", F.lit(True))
-    rows = rows.join(names, "exact_key", "left").withColumn("exact", F.coalesce("known", F.lit(False))).drop("known")
+    rows = rows.join(F.broadcast(names) if retrieve.small(names) else names, "exact_key", "left").withColumn("exact", F.coalesce("known", F.lit(False))).drop("known")
     rows = stage(rows.withColumn("language", F.col("spoken.language")), "windows")
     evidence = (F.col("low_confidence") >= 0.25) | (F.col("nbest_disagreement") >= 0.5) | (F.col("mixed_script") > 0)
     needed = rows.where(evidence).select("normalized", "language").distinct()
@@ -96,17 +153,15 @@ def ranked_candidates(spans: DataFrame, dictionary: Dictionary) -> DataFrame:
     rows = rows.join(retrieve.best_sound(pairs, ["text_key", "entry_id"]), ["text_key", "entry_id"], "left")
     whole = found.join(keyed.select("text_key", "normalized"), "text_key").join(dictionary.aliases(), "entry_id").groupBy("text_key", "entry_id").agg(F.max(ratio_udf("normalized", "alias") / 100).alias("whole"))
     rows = rows.join(whole, ["text_key", "entry_id"])
-    first = F.get("languages", F.lit(0))
-    by_language = F.when(F.col("entry_language") == first, 1.0).when(F.array_contains("languages", F.col("entry_language")), 0.7).otherwise(F.when(first == "und", 0.4).otherwise(0.0))
     rows = rows.select(
         "*",
         F.greatest(F.coalesce("orthographic", F.lit(0.0)), "whole").alias("ortho"),
         (0.70 * F.coalesce("feature", F.lit(0.0)) + 0.30 * F.coalesce("trigram", F.lit(0.0))).alias("phonetic"),
         F.array_contains("normalized_aliases", F.col("normalized")).cast("double").alias("alias_hit"),
-        by_language.alias("language_score"),
+        language_score(F.col("entry_language"), F.col("languages")).alias("language_score"),
     )
-    terms = {"phonetic": F.col("phonetic"), "orthographic": F.col("ortho"), "alias": F.col("alias_hit"), "language_score": F.col("language_score"), "asr": F.col("asr"), "prior": F.col("prior")}
-    return rows.withColumn("score", F.round(sum((F.lit(w) * terms[c] for c, w in SCORE.items()), F.lit(0.0)), 4))
+    score = final_score(phonetic=F.col("phonetic"), orthographic=F.col("ortho"), alias=F.col("alias_hit"), language_score=F.col("language_score"), asr=F.col("asr"), prior=F.col("prior"))
+    return rows.withColumn("score", score)
 
 
 def _retrieve_by_sound(keyed: DataFrame, dictionary: Dictionary) -> DataFrame:
@@ -123,14 +178,15 @@ def _sounds_only(dictionary: Dictionary) -> Dictionary:
 def match(requests: DataFrame, dictionary: Dictionary, review: float = REVIEW, margin: float = MARGIN, threshold: float = detect.SUSPECT, max_tokens: int = detect.MAX_TOKENS) -> DataFrame:
     """One row a suspicious span: offsets, context, language, evidence, ranked candidates, decision and reasons.
 
-    A decision is abstain or review; nothing is ever committed.
+    A decision is abstain or review; nothing is ever committed. Requests that break a limit (``rejected``) take no part.
     """
+    requests = requests.where(valid_request())
     parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     requests = stage(requests.repartition(parts, "request_id"), "requests")  # a few large files are no bound on parallelism
     spans = stage(detected_spans(requests, dictionary, threshold, max_tokens), "spans")
     spans = spans.withColumn("span_id", span_id(F.col("request_id"), F.col("char_start"), F.col("char_end")))
     second = F.when(F.col("spoken.confidence") < 0.5, F.slice("spoken.alternatives", 1, 1)).otherwise(F.array().cast("array<string>"))
-    spans = spans.withColumn("languages", F.concat(F.array("spoken.language"), second)).withColumn("asr", 1.0 - F.round("low_confidence", 4))
+    spans = spans.withColumn("languages", F.concat(F.array("spoken.language"), second)).withColumn("asr", 1.0 - F.bround("low_confidence", 4))
     said = pronounce(spans.select("normalized", F.explode("languages").alias("language")).distinct(), dictionary.curated(), dictionary.lexicon)
     spelled = spans.select("span_id", "normalized", F.posexplode("languages").alias("at", "language")).join(said, ["normalized", "language"])
     spelled = spelled.groupBy("span_id").agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "pronunciations"))), lambda x: x["pronunciations"]))).alias("pronunciations"))
@@ -140,39 +196,25 @@ def match(requests: DataFrame, dictionary: Dictionary, review: float = REVIEW, m
     order = Window.partitionBy("span_id").orderBy(F.desc("score"), F.desc(F.coalesce("orthographic", F.lit(0.0))), "entry_id")
     ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k"))
     breakdown = F.struct(
-        F.round("phonetic", 4).alias("phonetic"), F.round("ortho", 4).alias("orthographic"), F.col("alias_hit").alias("alias"), F.col("language_score").alias("language"),
-        F.round("asr", 4).alias("asr"), "prior", F.round(F.coalesce("feature", F.lit(0.0)), 4).alias("phonetic_feature"), F.round(F.coalesce("trigram", F.lit(0.0)), 4).alias("ipa_ngram"),
+        F.bround("phonetic", 4).alias("phonetic"), F.bround("ortho", 4).alias("orthographic"), F.col("alias_hit").alias("alias"), F.col("language_score").alias("language"),
+        F.bround("asr", 4).alias("asr"), "prior", F.bround(F.coalesce("feature", F.lit(0.0)), 4).alias("phonetic_feature"), F.bround(F.coalesce("trigram", F.lit(0.0)), 4).alias("ipa_ngram"),
     )
     candidate = F.struct("rank", "concept_id", "term", F.coalesce("matched_alias", "normalized_term").alias("matched_alias"), F.col("entry_language").alias("language"), "risk_tier", "score", breakdown.alias("score_breakdown"), "provenance")
     listed = ranked.groupBy("span_id").agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
     rows = stage(spans.join(listed, "span_id", "left"), "ranked")
     rows = rows.withColumn("structured", text.medication_fields(F.col("span_text")))
     top, next_ = F.get("candidates", F.lit(0)), F.get("candidates", F.lit(1))
-    reasons = F.array_compact(F.array(
-        F.lit("candidate_above_review_threshold"),
-        F.when(top["score"] - F.coalesce(next_["score"], F.lit(0.0)) < margin, "low_margin"),
-        F.when(F.lower(top["risk_tier"]).isin(HIGH_RISK), "high_risk_medication"),
-        F.when(F.size("scripts") > 1, "mixed_script"),
-        F.when(F.col("spoken.confidence") < 0.5, "language_uncertain"),
-        F.when(F.size("structured.strengths") > 0, "dose_adjacent"),
-    ))
-    why = (
-        F.when(F.size("pronunciations") == 0, F.array(F.lit("pronunciation_failed")))
-        .when((F.col("spoken.language") == "und") | (F.array_join("scripts", "+") == "Zyyy"), F.array(F.lit("language_or_script_unresolved")))
-        .when(top.isNull() | (top["score"] < review), F.array(F.lit("below_review_threshold")))
-        .otherwise(reasons)
-    )
-    heard = F.filter("tokens", lambda t: (t["char_start"] < F.col("char_end")) & (t["char_end"] > F.col("char_start")))
-    begin = F.greatest(F.lit(0), F.col("char_start") - CONTEXT)
-    evidence = F.struct("oov", F.round("low_confidence", 4).alias("low_confidence"), F.round("nbest_disagreement", 4).alias("nbest_disagreement"), "boundary_risk", "mixed_script", "neighbor_hint", F.round("risk", 4).alias("risk_score"))
+    why = decision_reason(top, next_["score"], F.col("pronunciations"), F.col("scripts"), F.col("spoken"), F.col("structured.strengths"), review, margin)
+    audio_start, audio_end = audio_range(F.col("tokens"), F.col("char_start"), F.col("char_end"))
+    evidence = F.struct("oov", F.bround("low_confidence", 4).alias("low_confidence"), F.bround("nbest_disagreement", 4).alias("nbest_disagreement"), "boundary_risk", "mixed_script", "neighbor_hint", F.bround("risk", 4).alias("risk_score"))
     none = F.array().cast("array<string>")
     return rows.withColumn("decision_reason", why).select(
         "request_id", "span_id", "span_text", "char_start", "char_end",
-        F.substring(F.col("text"), begin + 1, F.least(F.length("text"), F.col("char_end") + CONTEXT) - begin).alias("context"),
-        F.col("spoken.language").alias("language"), F.round("spoken.confidence", 4).alias("language_confidence"), F.coalesce("spoken.alternatives", none).alias("language_alternatives"),
+        context(F.col("text"), F.col("char_start"), F.col("char_end")).alias("context"),
+        F.col("spoken.language").alias("language"), F.bround("spoken.confidence", 4).alias("language_confidence"), F.coalesce("spoken.alternatives", none).alias("language_alternatives"),
         F.array_join("scripts", "+").alias("script"), F.col("normalized").alias("normalized_span"), "structured", "pronunciations", evidence.alias("evidence"), "candidates",
-        F.when(F.get("decision_reason", F.lit(0)) == "candidate_above_review_threshold", "review").otherwise("abstain").alias("decision"), "decision_reason",
-        F.lit(dictionary.version).alias("artifact_version"), F.array_min(F.transform(heard, lambda t: t["start_time"])).alias("audio_start"), F.array_max(F.transform(heard, lambda t: t["end_time"])).alias("audio_end"),
+        decision(F.col("decision_reason")).alias("decision"), "decision_reason",
+        F.lit(dictionary.version).alias("artifact_version"), audio_start.alias("audio_start"), audio_end.alias("audio_end"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ACTIONS = ["accept_candidate", "keep_original", "unresolved"]
+REVIEWED = "review_id span_id reviewer_id action concept_id note review_created_at".split()
 REVIEW = "review_id string, request_id string, span_id string, reviewer_id string, action string, concept_id string, note string, artifact_version string, created_at timestamp"
 
 
@@ -57,10 +58,23 @@ def reviews_of(spark: SparkSession, path: str, request_id: str) -> DataFrame:
 
 
 def export(matches: DataFrame, reviews: DataFrame) -> DataFrame:
-    """A JSON line for each match and review of it (one without, if there is none), null fields of the review left out."""
-    r = reviews.select("request_id", F.struct(*[c for c in reviews.columns if c != "request_id"]).alias("review"))
-    joined = matches.join(r, "request_id", "left")
-    return joined.select("request_id", "created_at", F.col("review.created_at").alias("reviewed_at"), F.to_json(F.struct("payload_json", "review")).alias("line"))
+    """request_id, created_at, review_created_at, line: a JSON line for each match and review of it, in the order of both times.
+
+    A line has the stored response's own fields and ``review``: the review's fields that are not null, or {}.
+    """
+    of = reviews.select(F.col("request_id").alias("reviewed_request"), *[F.col(c) if c in reviews.columns else F.lit(None).cast("string").alias(c) for c in REVIEWED[:-1]], F.col("created_at").alias("review_created_at"))
+    joined = matches.join(of, F.col("request_id") == F.col("reviewed_request"), "left")
+    body = F.regexp_replace(F.col("payload_json"), r"\s*\}\s*$", "")
+    more = F.when(F.trim(body) == "{", "").otherwise(",")
+    line = F.concat(body, more, F.lit('"review":'), F.to_json(F.struct(*REVIEWED)), F.lit("}"))
+    return joined.select("request_id", "created_at", "review_created_at", line.alias("line")).orderBy("created_at", F.asc_nulls_first("review_created_at"), "line")
+
+
+def write_export(matches: DataFrame, reviews: DataFrame, path: str) -> int:
+    """The lines of ``export`` as text files, in order; returns how many."""
+    lines = export(matches, reviews)
+    lines.select("line").write.mode("overwrite").text(path)
+    return lines.sparkSession.read.text(path).count()
 
 
 def orphans(matches: DataFrame, reviews: DataFrame) -> DataFrame:

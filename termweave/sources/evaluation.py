@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termweave.plans.match import NBEST, TOKENS
+from termweave.plans.stage import numbered
 
 GOLD = "array<struct<char_start:int,char_end:int,span_text:string,gold_term:string,concept_id:string,language:string,script:string,code_switch:boolean,dose_adjacent:boolean,risk_tier:string,error_type:string,term_category:string>>"
 RECORD = f"dataset_version string, case_id string, text string, locale string, tags array<string>, split string, source_kind string, provenance string, audio_file string, tokens {TOKENS}, n_best {NBEST}, reference_transcript string, asr_hypothesis string, gold_spans {GOLD}"
@@ -15,12 +16,12 @@ FIELDS = [c.split(" ", 1)[0] for c in RECORD.split(", ")]
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a file of JSON lines; blank lines are skipped. A row has ``problem`` (with its line) or is sound."""
     lines = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
-    return check_records(lines.withColumn("line", F.row_number().over(Window.orderBy("id"))).select("line", "value"))
+    return check_records(numbered(lines, "id", "line").select("line", "value"))
 
 
 def check_records(lines: DataFrame) -> DataFrame:
     """Records from (line, value), numbered by position among the lines that are not blank, with defaults and ``problem``."""
-    rows = lines.where(F.trim("value") != "").withColumn("position", F.row_number().over(Window.orderBy("line")))
+    rows = numbered(lines.where(F.trim("value") != ""), "line", "position")
     parsed = rows.select("line", "position", F.from_json("value", RECORD).alias("r"), F.json_object_keys("value").alias("keys"))
     default = {
         "dataset_version": F.lit("unversioned"), "tags": F.array().cast("array<string>"), "split": F.lit("test"), "source_kind": F.lit("synthetic"),

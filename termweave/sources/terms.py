@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions import phonetics, text
-from termweave.plans.stage import stage
+from termweave.plans.stage import numbered, stage
 
 TERM_SCHEMA = "concept_id string, term string, aliases array<string>, language string, risk_tier string, prior double, provenance string, pronunciations array<string>"
 RRF = "RXCUI LAT TS LUI STT SUI ISPREF RXAUI SAUI SCUI SDUI SAB TTY CODE STR SRL SUPPRESS CVF EMPTY".split()
@@ -130,7 +130,7 @@ class Dictionary:
     entries: DataFrame
     version: str
     source_sha256: str | None = None
-    lexicon: DataFrame | None = None  # word, arpabet: pronunciations of English words, two at most a word
+    lexicon: DataFrame | None = None  # word, arpabet, place: pronunciations of English words, of which the first two by place (else by arpabet) count
 
     def aliases(self) -> DataFrame:
         return self.entries.select("entry_id", F.posexplode("normalized_aliases").alias("place", "alias"))
@@ -149,9 +149,9 @@ class Dictionary:
 
 def build_dictionary(terms: DataFrame, version: str, source_sha256: str | None = None, lexicon: DataFrame | None = None) -> Dictionary:
     """Entries numbered in source order, with normalised names and pronunciation forms of all names."""
-    numbered = terms.withColumn("entry_id", (F.row_number().over(Window.orderBy("line")) - 1).cast("long")).drop("line")
+    placed = numbered(terms, "line", "entry_id").withColumn("entry_id", F.col("entry_id") - 1).drop("line")
     names = F.concat(F.array("term"), "aliases")
-    entries = numbered.withColumn("normalized_term", text.normalize_term(F.col("term"), F.col("language")))
+    entries = placed.withColumn("normalized_term", text.normalize_term(F.col("term"), F.col("language")))
     place = entries.select("entry_id", "language", F.posexplode(names).alias("at", "name"))
     named = place.select("entry_id", "language", "at", text.normalize_term(F.col("name"), F.col("language")).alias("alias"))
     grouped = named.groupBy("entry_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"])).alias("normalized_aliases"))
@@ -174,7 +174,8 @@ def pronounce(rows: DataFrame, curated: DataFrame, lexicon: DataFrame | None = N
     fallback = phonetics.spelled(F.col("normalized"))
     tiers = [F.when(F.size("curated") > 0, F.transform("curated", lambda v: one(v, "ipa", "curated")))]
     if lexicon is not None:
-        words = lexicon.groupBy("word").agg(F.slice(F.collect_list("arpabet"), 1, 2).alias("said")).select("word", F.transform("said", phonetics.arpabet_to_ipa).alias("said"))
+        place = F.col("place") if "place" in lexicon.columns else F.lit(0)
+        words = lexicon.groupBy("word").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("place"), "arpabet"))), lambda x: x["arpabet"]), 1, 2).alias("said")).select("word", F.transform("said", phonetics.arpabet_to_ipa).alias("said"))
         texts = rows.where("language = 'en' AND normalized <> ''").select("normalized").distinct()
         split = texts.select("normalized", F.posexplode(F.split("normalized", " ")).alias("at", "word")).join(words, "word", "left")
         phrases = split.groupBy("normalized").agg(F.count(F.when(F.col("said").isNull(), 1)).alias("missing"), F.sort_array(F.collect_list(F.struct("at", "said"))).alias("w")).where("missing = 0")
