@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.util import CARRIED, carry, cut, restore, slices, texts_of
+from termweave.llm.util import CARRIED, carry, cut, drop_cut, restore, slices, texts_of
 
 #: Insults that the built-in labellers know; the mined list adds what labelled rows show.
 INSULTS = frozenset("trash pathetic idiot worthless disgusting stupid clown scum loser moron imbecile dumb jerk garbage vermin filth bastard".split())
@@ -308,42 +308,44 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     the fourth looks at other words of a mined beginning, so no occurrence counts with two of them.
     Rows that repeat get equal results.
 
-    Scale: the texts are read once (and those of labelled rows once more); votes and features are written beside the returned columns,
-    about a quarter of the texts' size, and judged from there. No shuffle but of pattern counts, the
-    samples and word counts.
+    Scale: two passes over the texts (and those of labelled rows once more). The first writes votes and
+    features, about a quarter of the texts' size, to fit the models, and that table is deleted before the
+    second judges. No shuffle but of pattern counts, the samples and word counts.
     """
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     columns = docs.columns if columns is None else columns
     listed = mine_words(docs.select(id_.alias("doc_id"), text.alias("text")), labels, labelled) if labels is not None else frozenset()
 
+    own = lambda batch: texts_of(batch, text_col if text_col in columns else None)
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = describer(listed)
+        known = describer(listed)
         for batch in batches:
-            for part, texts in slices(batch, texts_of(batch, text_col if text_col in columns else None)):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own(texts).arrays()], names=[CARRIED, "h", *FEATURES])
+            for part, texts in slices(batch, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([part.column(0), *known(texts).arrays()], names=["h", *FEATURES])
 
-    base = carry(docs, columns, h=F.xxhash64(id_, text), **({} if text_col in columns else {"own": text}))
-    schema = base.select(CARRIED, "h").schema
-    for n, kind in FEATURES.items():
-        schema = schema.add(n, kind)
-    described = cut(base.mapInArrow(describe, schema), "described")
+    kinds = ", ".join(f"{n} {kind}" for n, kind in FEATURES.items())
+    described = cut(docs.select(F.xxhash64(id_, text).alias("h"), text.alias("text")).mapInArrow(describe, f"h long, {kinds}"), "described")
     weights = _fit(described, sample)
+    drop_cut(described)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = describer(listed)
         for batch in batches:
-            known = Described.of(*(batch.column(batch.schema.get_field_index(n)) for n in ("words", "shapes", "numbers")))
-            n, none = batch.num_rows, known.n_words == 0
-            junk, abuse = (_scores(f, w, n) for f, w in zip((known.form(), known.tone()), weights, strict=True))
-            junk[none], abuse[none] = 1.0, 0.0
-            worst = np.maximum(junk, abuse)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(junk), pa.array(abuse), pa.array(1 - worst), pa.array(worst < threshold)], names=[CARRIED, *names])
+            for part, texts in slices(batch, own(batch)):
+                found = known(texts)
+                junk, abuse = (_scores(f, w, len(texts)) for f, w in zip((found.form(), found.tone()), weights, strict=True))
+                none = found.n_words == 0
+                junk[none], abuse[none] = 1.0, 0.0
+                worst = np.maximum(junk, abuse)
+                yield pa.RecordBatch.from_arrays([part.column(0), found.arrays()[0], pa.array(junk), pa.array(abuse), pa.array(1 - worst), pa.array(worst < threshold)], names=[CARRIED, *names])
 
     names = ["votes", "p_junk", "p_abuse", "score", "keep"]
-    schema = described.select(CARRIED, "votes").schema
-    for n, kind in zip(names[1:], ["double", "double", "double", "boolean"], strict=True):
+    base = carry(docs, columns, **({} if text_col in columns else {"own": text}))
+    schema = base.select(CARRIED).schema
+    for n, kind in zip(names, ["string", "double", "double", "double", "boolean"], strict=True):
         schema = schema.add(n, kind)
-    judged = described.select(CARRIED, "votes", "words", "shapes", "numbers").mapInArrow(judge, schema)
-    return restore(judged, columns, **{n: F.col(n) for n in names})
+    return restore(base.mapInArrow(judge, schema), columns, **{n: F.col(n) for n in names})
 
 
 def _fit(described: DataFrame, sample: int) -> list[np.ndarray]:
