@@ -47,7 +47,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Scale: only hashes and positions are shuffled for the search, once written as a table. The first
     occurrence is a combinable minimum. Windows that make up over one in HOT_SHARE of all occurrences (at
     most HOT_SHARE of them, so) are met by a broadcast of their first occurrences, the others by a shuffle:
-    no task takes the occurrences of one hot window. The texts move once, to meet their removals.
+    no task takes the occurrences of one hot window. The texts move once, to meet their removals (at every size
+    by a shuffle, as no bound keeps the removals small).
     """
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     found = cut(_windows(docs.select(id_.alias("d"), F.xxhash64(text).alias("t"), text.alias("text")), window), "windows")
@@ -69,7 +70,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop_cut(first)
     own = F.col(f"{CARRIED}.`{text_col}`")
     base = carry(docs, d=id_, t=F.xxhash64(text))
-    joined = base.join(runs, F.col("d").eqNullSafe(F.col("rd")) & (F.col("t") == F.col("rt")), "left")
+    joined = base.join(runs.hint("merge"), F.col("d").eqNullSafe(F.col("rd")) & (F.col("t") == F.col("rt")), "left")
     parts = joined.withColumn("lines", F.split(own, "\n", -1))
     bounds = F.sequence(F.lit(0), F.size("begins"))
     start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("ends"), k - 1))
