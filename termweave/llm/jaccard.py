@@ -33,6 +33,8 @@ BUCKET_BYTES = 8 << 20
 BROADCAST_IDS = 500_000
 #: Bytes of sets that a task takes of one group; a larger group is dealt into blocks of half as many.
 GROUP_BYTES = 32 << 20
+#: Sets of a block where a group of fewer bytes is spread over tasks, and how many blocks it then has at most (each set goes to one pair fewer).
+BLOCK_SETS, MOST_SPREAD = 256, 8
 #: A class of more than this share of all rows is met by a broadcast (so at most as many classes as this), others by a shuffle.
 HOT_SHARE = 1000
 #: Turns in which few sets search, and sets of a group that has none of these; the links are the same.
@@ -373,17 +375,19 @@ def _resolve(key: str, table: pa.Table) -> Iterator[pa.RecordBatch]:
 def _components(sets: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """k, component (smallest id) for the classes in ``groups`` (node, root).
 
-    Groups whose sets have up to ``most`` bytes go to a task each. A larger one is dealt into blocks by hash;
-    each pair of blocks is searched by itself, and what the pairs find is joined. At most total / most groups
-    are that large, which bounds the broadcast.
+    Small groups go to a task each. One of more than ``most`` bytes is dealt into blocks of half as many by
+    hash, and one of more than BLOCK_SETS sets into up to MOST_SPREAD blocks; each pair of blocks is searched
+    by a task of its own, and what the pairs find is joined. Fewer groups than one in BLOCK_SETS sets are so
+    large; their list is broadcast if it has at most BROADCAST_IDS rows.
     """
     met = sets.join(groups, sets["k"] == groups["node"]).select("root", "doc_id", "k", "tokens")
-    blocks = met.groupBy("root").agg(F.sum(F.length("tokens")).alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("b") > most)
-    blocks = cut(blocks.select(F.col("root").alias("big"), F.ceil(2 * F.col("b") / most).cast("int").alias("blocks")), "blocks")
+    blocks = met.groupBy("root").agg(F.sum(F.length("tokens")).alias("b"), F.count(F.lit(1)).alias("n")).where((F.col("b") > most) | (F.col("n") > BLOCK_SETS))
+    spread = F.least(F.ceil(F.col("n") / BLOCK_SETS), F.lit(MOST_SPREAD))
+    blocks = cut(blocks.select(F.col("root").alias("big"), F.greatest(F.when(F.col("b") > most, F.ceil(2 * F.col("b") / most)).otherwise(0), spread, F.lit(2)).cast("int").alias("blocks")), "blocks")
     own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: c != F.col("own"))
     pairs = F.transform(others, lambda c: F.concat_ws(":", "root", F.least(c, F.col("own")), F.greatest(c, F.col("own"))))
-    dealt = met.join(F.broadcast(blocks), F.col("root") == F.col("big"), "left").withColumn("own", own)
+    dealt = met.join(F.broadcast(blocks) if small_enough(blocks, BROADCAST_IDS) else blocks, F.col("root") == F.col("big"), "left").withColumn("own", own)
     dealt = dealt.select(F.explode(F.when(F.col("big").isNull(), F.array(F.col("root").cast("string"))).otherwise(pairs)).alias("key"), "doc_id", "k", "tokens")
     found = cut(by_key(dealt, "key", _resolve, RESOLVED_SQL), "found")
     whole = found.where("NOT split").select("k", "component")
