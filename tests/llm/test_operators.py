@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termweave.llm import bpe, components, fingerprints, jaccard, lines, mixing, pii, quality, suffixes, topk, urls
 
@@ -93,6 +94,52 @@ def test_top_k_equals_brute_force(spark):
     assert topk.products(huge, huge)[0, 0] == (1 << 63) - 1
 
 
+def test_top_k_of_odd_rows(spark):
+    docs = spark.createDataFrame([(20, [1.0], "q"), (20, [1.0], "q"), (5, [1.0], "r"), (5, [1.0], "r"), (6, [0.5], "s"), (7, None, "t"), (None, [1.0], "u"), (40, [], "v"), (8, [], "w")], "vec_id long, embedding array<float>, score string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(docs).collect())
+    assert got == [(20, 1, 5, 4096), (20, 2, 5, 4096), (20, 3, 6, 2048), (40, 1, 8, 0)]
+    assert topk.top_k(docs.where("false")).count() == 0 and topk.top_k(docs.where("vec_id = 5")).count() == 0
+
+
+def test_urls_of_odd_rows(spark):
+    long = "http://a.com/" + "x" * 200_000
+    rows = [(1, "http://a.net/fr/", "v"), (1, "http://a.net/fr/", "v"), (2, None, None), (3, "", "v"), (4, long, "v"), (None, "x://", "v")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string").withColumn("verdict", F.lit(0)).withColumn("host", F.lit(1))
+    got = urls.judge_urls(pages)
+    assert len(set(got.columns)) == len(got.columns) and urls.judge_urls(pages.where("false")).count() == 0
+    found = [(r["page_id"], r["host"], r["rule"], r["verdict"]) for r in got.collect()]
+    assert found.count((1, "a.net", "net/fr/", "block")) == 2 and (2, "", None) in [f[:3] for f in found] and {f[3] for f in found} <= {"allow", "block"} and len(found) == 6
+
+
+def test_fingerprint_rows_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "é")], "doc_id long, text string"))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()}
+    for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        n = len(t) // 3
+        changed = t[: len(t) - n] + following[:n]
+        own, other, next_ = fingerprints.fingerprints([t, changed, following])
+        assert tuple(got[i])[:5] == (i, len(t), hashlib.sha256(changed.encode()).hexdigest(), own, other)
+        assert (got[i]["near_edited"], got[i]["near_next"]) == (fingerprints.likeness(own, other), fingerprints.likeness(own, next_))
+
+
+def test_personal_data_rows_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "a" * 70 + "@b.de x at y dot com")], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in pii.find_pii(docs).collect():
+        base = brute_spans(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join("{}:{}:{}".format(*b) for b in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(",")) and len(r["spans"].split(",")) == len(base) + r["n_added"] or not r["spans"]
+
+
+def test_lines_of_odd_rows(spark):
+    text = "a\nb\nc\nd"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "x\n" + text), (None, "b\nc\nd"), (3, None)], "doc_id long, text string").withColumn("begins", F.lit(1)).withColumn("d", F.lit("k"))
+    got = sorted(((r["doc_id"] or 0, r["n_removed"], r["text"]) for r in lines.dedup_lines(docs).collect()), key=str)
+    assert got == sorted([(0, 0, "b\nc\nd"), (1, 3, "a"), (1, 3, "a"), (2, 4, "x"), (3, 0, None)], key=str)
+
+
 def test_mixing_reaches_its_targets(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "abc"[i % 3] if i % 4 else None) for i in range(4000)], "doc_id long, text string, source string")
     rows = mixing.mix_counts(docs).collect()
@@ -209,10 +256,31 @@ def test_components(spark):
 def test_shape_of_a_whole_token():
     known = quality.Describer(frozenset())
     start = "。".join(["日本"] * 20)
-    shape = lambda token: int(known.slots[known[token], 1])
+    shape = lambda token: int(known([token]).shapes[0])
     assert shape(start + "語") == shape(start + "語語") != shape(start + "#$%^&*" * 9) != shape(start)
 
 
+@pytest.mark.parametrize("n", [10, 1000, 400_000])
+def test_votes_depend_on_shares_not_on_length(n):
+    known = quality.Describer(frozenset())
+    words = ["alpha", "beta", "gamma", "delta", "same"]
+    vote = lambda text: "".join(map(str, known([text]).votes[0]))
+    own, short = vote(" ".join(words * (n // 5))), vote(" ".join(words * 20))
+    assert own[5] == ("1" if n < 30 else short[5]) == "1" and own[6] == short[6]
+    assert vote("x " * n)[2:4] == ("11" if n < 30 else "22")
+    cut = "y " * ((1 << 19) - 2) + "run run run run run run run " + "a b c " * 9  # a run across a megabyte's end
+    assert n > 10 or vote(cut)[3] == "2"
+
+
+def test_features_survive_writing():
+    known = quality.Describer(frozenset(["abcde*"]))
+    made = known(["You idiot! abcdefgh ### x", None, "", "plain words here"])
+    back = quality.Described.of(*made.arrays()[1:])
+    for name in ("words", "n_words", "shapes", "n_shapes", "shares", "numbers"):
+        assert (getattr(back, name) == getattr(made, name)).all(), name
+    assert made.votes[0, quality.FORM :].tolist().count(quality.BAD) == 2 and made.votes[3, quality.FORM :].tolist() == [0, 0, 0, 0]
+
+
 def test_quality_finds_junk_and_abuse(spark):
     r = random.Random(3)
     words = "the river runs along a green valley and people walk near old houses in spring while birds sing".split()
