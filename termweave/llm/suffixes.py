@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.util import by_key, cut
+from termweave.llm.util import by_key, cut, tidy
 
 MATCH, ANCHOR = 50, 24
 SIDE = MATCH - ANCHOR
@@ -379,7 +379,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(16, -(-3 * total // BUCKET_BYTES))
     hashes = blobs.select("blob", "data", "ids", "more").mapInArrow(_anchor_hashes(buckets), BUCKETS_SQL)
     again = cut(by_key(hashes, "bucket", _recurring, BLOBS_SQL, buckets), "again")
+    del hashes
+    tidy(docs.sparkSession)  # shuffles that the written tables have replaced may go
     given = by_key(blobs.union(again), "blob", _give(buckets), BUCKETS_SQL, many)
     masks = cut(by_key(given, "bucket", _judge, BLOBS_SQL, buckets), "masks")
+    del given
+    tidy(docs.sparkSession)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<long>" if with_text else "")
     return by_key(blobs.union(again).union(masks), "blob", _remove(with_text), out, many)
