@@ -380,8 +380,10 @@ def _components(sets: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     by a task of its own, and what the pairs find is joined. Fewer groups than one in BLOCK_SETS sets are so
     large; their list is broadcast if it has at most BROADCAST_IDS rows.
     """
+    groups = groups.hint("merge")  # by a shuffle at every size, as no bound keeps them small
     met = sets.join(groups, sets["k"] == groups["node"]).select("root", "doc_id", "k", "tokens")
-    blocks = met.groupBy("root").agg(F.sum(F.length("tokens")).alias("b"), F.count(F.lit(1)).alias("n")).where((F.col("b") > most) | (F.col("n") > BLOCK_SETS))
+    sizes = sets.select("k", F.length("tokens").alias("b")).join(groups, F.col("k") == F.col("node"))  # sizes travel, the sets do not
+    blocks = sizes.groupBy("root").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).where((F.col("b") > most) | (F.col("n") > BLOCK_SETS))
     spread = F.least(F.ceil(F.col("n") / BLOCK_SETS), F.lit(MOST_SPREAD))
     blocks = cut(blocks.select(F.col("root").alias("big"), F.greatest(F.when(F.col("b") > most, F.ceil(2 * F.col("b") / most)).otherwise(0), spread, F.lit(2)).cast("int").alias("blocks")), "blocks")
     own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
