@@ -47,8 +47,13 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner find the shuffle files of plans that nothing refers to any more, now that a cut has replaced them."""
+    """Let Spark's cleaner find the shuffle files of plans that nothing refers to any more, now that a cut has replaced them.
+
+    Spark's listener queues hold the end event of the last query, and with it that query's plan, until another event
+    comes; the query of one row here takes its place.
+    """
     gc.collect()
+    spark.range(1).collect()
     spark.sparkContext._jvm.System.gc()
 
 
