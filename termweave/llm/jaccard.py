@@ -1,7 +1,8 @@
 """N-gram Jaccard join: exact links between documents whose word-shingle sets are alike, and their components.
 
 Copies with equal sets are one class. Classes whose low-hashed tokens recur in too few other classes can
-have no partner and leave early. Of the rest, rare-first prefixes of the sets group what may be linked, and
+have no partner and leave early. The rest are cut into parts by hash, more than two linked sets can differ in,
+so that some part is equal in both; sets with an equal part are grouped, and
 within a group a T-occurrence search finds the links: short inverted lists are merged on a heap, long ones
 are only probed by binary search (DivideSkip), and documents that reach the required overlap are retained.
 A group too large for a task is dealt into blocks, and each pair of blocks is searched by a task of its own.
@@ -9,6 +10,7 @@ A group too large for a task is dealt into blocks, and each pair of blocks is se
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import itertools
@@ -37,6 +39,8 @@ GROUP_BYTES = 32 << 20
 BLOCK_SETS, MOST_SPREAD = 256, 8
 #: A class of more than this share of all rows is met by a broadcast (so at most as many classes as this), others by a shuffle.
 HOT_SHARE = 1000
+#: Bytes that travel at once for pairs of blocks, as a multiple of all grouped sets; more go in several rounds, each freed before the next.
+ROUND_BYTES = 2
 #: Turns in which few sets search, and sets of a group that has none of these; the links are the same.
 TURNS, FEW = 6, 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -226,13 +230,65 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return tokens[first][seen[first] > 1]
 
 
-def _prefix_postings(sketch: bytes, buckets: int):
+def _bands() -> np.ndarray:
+    """Least sizes of the bands; sets of bands that are not neighbours differ too much in size to be linked."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * DEN // NUM + 1)
+    return np.array(out)
+
+
+BANDS = _bands()
+
+
+def _frequency(counts: np.ndarray) -> np.ndarray:
+    """Eight times the binary logarithm, about; whole numbers, the same on every machine."""
+    part, power = np.frexp(counts.astype(np.float64))
+    return 8 * power.astype(np.int64) + (16 * part - 8).astype(np.int64)
+
+
+def signatures(tokens: np.ndarray, sketch: np.ndarray, total: int) -> np.ndarray:
+    """Hashes of parts of a set, of which every set linked with it has one as well.
+
+    The sets of two neighbouring bands are cut into equally many parts by the hash of their tokens. Linked sets
+    of n and m tokens differ in at most d = (n + m) / 9 of them, hence in at most d parts, so among the first d + 1
+    parts of a set one is equal in the other. The order is the same for all sets, by what a part holds: many
+    and rare tokens first. As a part mostly holds three or four, a shingle or two that recur by chance group
+    nothing, however many texts there are. A set with too few parts that are not empty has the tokens of its
+    ``prefix`` besides, for others of that kind.
+    """
+    n = len(tokens)
+    rarity = _frequency(np.array([total])) - _frequency(sketch[_slot(tokens)]) + 1
+    mixed, place = (tokens ^ (tokens >> np.uint64(31))) * _B, (tokens * _A) >> np.uint64(32)
+    band = int(np.searchsorted(BANDS, n, "right")) - 1
+    out, weak = [np.zeros(0, np.uint64)], False
+    for low in range(max(0, band - 1), band + 1):
+        most = int(BANDS[low + 2]) - 1
+        differ = (DEN - NUM) * (n + min(most, n * DEN // NUM)) // (DEN + NUM)
+        if not differ:
+            continue  # only an equal set could be linked
+        part = place % np.uint64(3 * most // 10 + 2)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        own = np.add.reduceat(mixed[order], cuts)
+        own = (own ^ (own >> np.uint64(31))) * _A + np.uint64(low)
+        if len(own) > differ:
+            own = own[np.lexsort((own, -np.add.reduceat(rarity[order], cuts)))[: differ + 1]]
+        else:
+            weak = True
+        out.append(own)
+    return np.concatenate([*out, prefix(tokens, sketch)] if weak else out)
+
+
+def _signature_postings(sketch: bytes, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch, "<i8")
+        total = int(counts.sum())
         tokens, owners = [], []
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = prefix(np.frombuffer(raw, "<u8"), counts)
+                own = signatures(np.frombuffer(raw, "<u8"), counts, total)
                 tokens.append(own)
                 owners.append(np.full(len(own), k, np.int64))
             if sum(map(len, tokens)) > 800_000:
@@ -378,20 +434,37 @@ def _components(sets: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     Small groups go to a task each. One of more than ``most`` bytes is dealt into blocks of half as many by
     hash, and one of more than BLOCK_SETS sets into up to MOST_SPREAD blocks; each pair of blocks is searched
     by a task of its own, and what the pairs find is joined. Fewer groups than one in BLOCK_SETS sets are so
-    large; their list is broadcast if it has at most BROADCAST_IDS rows.
+    large; their list is broadcast if it has at most BROADCAST_IDS rows. A set of a large group travels to
+    every other block, which grows with the square of the group: beyond ROUND_BYTES times all grouped sets
+    the pairs take turns, so that the disk they need follows the sets.
     """
     groups = groups.hint("merge")  # by a shuffle at every size, as no bound keeps them small
     met = sets.join(groups, sets["k"] == groups["node"]).select("root", "doc_id", "k", "tokens")
     sizes = sets.select("k", F.length("tokens").alias("b")).join(groups, F.col("k") == F.col("node"))  # sizes travel, the sets do not
-    blocks = sizes.groupBy("root").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).where((F.col("b") > most) | (F.col("n") > BLOCK_SETS))
+    sizes = cut(sizes.groupBy("root").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")), "sizes")
     spread = F.least(F.ceil(F.col("n") / BLOCK_SETS), F.lit(MOST_SPREAD))
-    blocks = cut(blocks.select(F.col("root").alias("big"), F.greatest(F.when(F.col("b") > most, F.ceil(2 * F.col("b") / most)).otherwise(0), spread, F.lit(2)).cast("int").alias("blocks")), "blocks")
+    blocks = F.greatest(F.when(F.col("b") > most, F.ceil(2 * F.col("b") / most)).otherwise(0), spread, F.lit(2)).cast("int")
+    blocks = cut(sizes.where((F.col("b") > most) | (F.col("n") > BLOCK_SETS)).select(F.col("root").alias("big"), "b", blocks.alias("blocks")), "blocks")
+    held, sent = sizes.agg(F.sum("b")).first()[0] or 0, blocks.agg(F.sum(F.col("b") * (F.col("blocks") - 1))).first()[0] or 0
+    rounds = -(-sent // max(1, ROUND_BYTES * held))
+    blocks = blocks.drop("b")
     own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: c != F.col("own"))
     pairs = F.transform(others, lambda c: F.concat_ws(":", "root", F.least(c, F.col("own")), F.greatest(c, F.col("own"))))
-    dealt = met.join(F.broadcast(blocks) if small_enough(blocks, BROADCAST_IDS) else blocks, F.col("root") == F.col("big"), "left").withColumn("own", own)
-    dealt = dealt.select(F.explode(F.when(F.col("big").isNull(), F.array(F.col("root").cast("string"))).otherwise(pairs)).alias("key"), "doc_id", "k", "tokens")
-    found = cut(by_key(dealt, "key", _resolve, RESOLVED_SQL), "found")
+    placed = met.join(F.broadcast(blocks) if small_enough(blocks, BROADCAST_IDS) else blocks, F.col("root") == F.col("big"), "left").withColumn("own", own)
+    if rounds > 1:
+        placed = cut(placed, "placed")
+    keys = F.when(F.col("big").isNull(), F.array(F.col("root").cast("string"))).otherwise(pairs)
+    parts = []
+    for turn in range(max(1, rounds)):
+        now = keys if rounds <= 1 else F.filter(keys, lambda key: F.pmod(F.xxhash64(key), F.lit(rounds)) == turn)
+        dealt = placed.select(F.explode(now).alias("key"), "doc_id", "k", "tokens")
+        parts.append(cut(by_key(dealt, "key", _resolve, RESOLVED_SQL), "found"))
+        del dealt
+        tidy(sets.sparkSession)
+    if rounds > 1:
+        drop_cut(placed)
+    found = functools.reduce(DataFrame.union, parts)
     whole = found.where("NOT split").select("k", "component")
     if not blocks.limit(1).count():
         return whole
@@ -440,7 +513,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not sketch:
         sketch = np.zeros(SKETCH, "<i8").tobytes()
     seen = spark.sparkContext.broadcast(sketch)
-    ties = by_key(sets.select("k", "tokens").mapInArrow(_prefix_with(seen, buckets), PACKED_SQL), "bucket", _stars, "a long, b long", buckets)
+    ties = by_key(sets.select("k", "tokens").mapInArrow(_signatures_with(seen, buckets), PACKED_SQL), "bucket", _stars, "a long, b long", buckets)
     groups = cut(connected(ties), "groups")
     del ties, parts
     tidy(spark)
@@ -473,8 +546,8 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return restore(left, docs.columns)
 
 
-def _prefix_with(seen, buckets: int):
+def _signatures_with(seen, buckets: int):
     def run(batches):
-        yield from _prefix_postings(seen.value, buckets)(batches)
+        yield from _signature_postings(seen.value, buckets)(batches)
 
     return run

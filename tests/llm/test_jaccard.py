@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,65 @@ def test_one_of_each_stays_whatever_the_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _tw_gone string").withColumn("h", F.lit(1)).withColumn("d", F.lit(2))
     left = jaccard.first_of_each(docs)
     assert left.columns == docs.columns and sorted(r["_tw_gone"] for r in left.collect()) == ["n", "x", "z"]
+
+
+def family_rows(families=30):
+    """Families of four near copies; one of each has five words in common with one of the next, by chance."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    chance = [[word() for _ in range(5)] for _ in range(families + 1)]
+    rows = []
+    for f in range(families):
+        base = [word() for _ in range(80)]
+        made = [base[:30] + chance[f] + [word()] + base[30:], base[:60] + chance[f + 1] + [word()] + base[60:], base, base[1:]]
+        rows += [(10 * f + k, " ".join(x)) for k, x in enumerate(made)]
+    return rows
+
+
+def test_words_in_common_by_chance_join_no_groups(spark, monkeypatch):
+    seen, old = [], jaccard._components
+
+    def spied(sets, groups, most):
+        seen.append(groups.groupBy("root").count().agg(F.max("count")).first()[0])
+        return old(sets, groups, most)
+
+    monkeypatch.setattr(jaccard, "_components", spied)
+    rows = family_rows()
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_hash").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows)
+    assert seen[0] <= 8
+
+
+def test_linked_sets_have_a_signature_in_common():
+    r = np.random.default_rng(3)
+    pairs = 0
+    for n in [*range(4, 60), 100, 500, 2000] * 8:
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.r_[r.permutation(a)[r.integers(0, n // 5 + 1) :], r.integers(0, 1 << 63, r.integers(0, n // 4 + 1), dtype=np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if both == len(a) == len(b) or not jaccard.linked(both, len(a), len(b)):
+            continue
+        sketch = np.bincount(jaccard._slot(np.r_[a, b]), minlength=jaccard.SKETCH)
+        sketch[jaccard._slot(a[: n // 3])] += 5000  # some are frequent elsewhere
+        total = int(sketch.sum())
+        pairs += 1
+        assert np.intersect1d(jaccard.signatures(a, sketch, total), jaccard.signatures(b, sketch, total)).size
+    assert pairs > 100
+
+
+def test_blocks_of_a_large_group_travel_in_rounds(spark, monkeypatch):
+    sent, old = [], jaccard.by_key
+
+    def spied(df, key, work, *rest):
+        if work is jaccard._resolve:
+            sent.append(df.agg(F.sum(F.length("tokens"))).first()[0] or 0)
+        return old(df, key, work, *rest)
+
+    monkeypatch.setattr(jaccard, "by_key", spied)
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(120)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=16_000).drop("text_hash").collect()
+    held = 120 * 196 * 8
+    assert sorted(map(tuple, got), key=str) == brute_components(rows)
+    assert sum(sent) > 5 * held and max(sent) < 4 * held
