@@ -29,26 +29,34 @@ def token_confidences(words: Column, heard: Column) -> Column:
     return F.when(F.coalesce(F.size(heard), F.lit(0)) <= 0, F.array().cast("array<double>")).when(placed, F.transform(words, over)).otherwise(by_place)
 
 
-def windows(requests: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
-    """A row for each run of 1 to ``most`` words of a request, with the evidence that the request itself holds.
+def windows(requests: DataFrame, most: int = MAX_TOKENS, heard: bool = False) -> DataFrame:
+    """A row for each run of 1 to ``most`` words of a request, with the evidence that the request itself holds; ``heard``: and whether it has other hypotheses.
 
     Requests: request_id, text, locale, top_k, tokens, n_best.
     """
-    read = requests.select("request_id", "text", "locale", "tokens", text.tokens(F.col("text")).alias("words"))
+    more = [(F.coalesce(F.size("n_best"), F.lit(0)) > 0).alias("heard")] if heard else []
+    read = requests.select("request_id", "text", "locale", "tokens", text.tokens(F.col("text")).alias("words"), *more)
     read = read.withColumn("confidences", token_confidences(F.col("words"), F.col("tokens"))).where(F.size("words") > 0)
     sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size("words")))
     runs = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(i.alias("first"), n.alias("width")))))
     rows = read.select("*", F.explode(runs).alias("w")).drop("tokens")
     begin, end = F.get("words", F.col("w.first"))["start"], F.get("words", F.col("w.first") + F.col("w.width") - 1)["end"]
-    rows = rows.select("request_id", "text", "locale", "w.first", "w.width", begin.alias("char_start"), end.alias("char_end"), F.slice("confidences", F.col("w.first") + 1, F.col("w.width")).alias("confidences"))
+    rows = rows.select("request_id", "text", "locale", "w.first", "w.width", begin.alias("char_start"), end.alias("char_end"), F.slice("confidences", F.col("w.first") + 1, F.col("w.width")).alias("confidences"), *["heard"] * heard)
     span = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
     low = F.when(F.size("confidences") > 0, F.greatest(F.lit(0.0), 1.0 - F.aggregate("confidences", F.lit(0.0), lambda s, x: s + x) / F.size("confidences"))).otherwise(0.0)
     return rows.withColumn("span_text", span).withColumn("low_confidence", low).drop("text", "confidences")
 
 
-def described(rows: DataFrame) -> DataFrame:
-    """Adds scripts, spoken (language), mixed_script, exact_key and normalized; each distinct span is worked on once, and a frequent one is no hot key."""
-    rows = stage(rows.withColumn("_l", F.coalesce("locale", F.lit(""))).drop("locale"), "rows")
+def described(rows: DataFrame, hopeful=None) -> DataFrame:
+    """Adds scripts, spoken (language), mixed_script, exact_key and normalized; each distinct span is worked on once, and a frequent one is no hot key.
+
+    ``hopeful`` (a function of span text and locale) names spans that may be near a name; others without evidence
+    by confidence or hypotheses (rows then have ``heard``, whether there are any) are left out, before any work on them.
+    """
+    rows = rows.withColumn("_l", F.coalesce("locale", F.lit(""))).drop("locale")
+    if hopeful is not None:
+        rows = rows.where(F.col("heard") | (F.col("low_confidence") >= 0.25) | hopeful(F.col("span_text"), F.col("_l"))).drop("heard")
+    rows = stage(rows, "rows")
     spans = rows.groupBy("span_text", "_l").agg(F.count(F.lit(1)).alias("_n"))
     spans = spans.withColumn("scripts", text.scripts(F.col("span_text"))).withColumn("spoken", text.language(F.col("scripts"), F.col("_l")))
     spans = spans.withColumn("exact_key", text.normalize_term(F.col("span_text"))).withColumn("stripped", text.strip_structured(F.col("span_text")))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from termweave.functions import phonetics, text
+from termweave.functions import bounds, phonetics, text
 from termweave.functions.ids import span_id
 from termweave.functions.similarity import ratio_udf, similarity_cap, weighted_ratio_udf
 from termweave.operators import detect, retrieve
@@ -123,9 +128,36 @@ def worth_scoring(keys: DataFrame, dictionary: Dictionary) -> DataFrame:
     return pairs.where(0.65 * F.col("feature") + 0.35 * F.col("similarity") >= detect.HINT - 1e-9).select("normalized", "language").distinct()
 
 
+#: Entries of a dictionary whose names' letters are compared with all windows; with more entries no window leaves by them.
+COMPARED = 1000
+
+
+def hopeful_spans(dictionary: Dictionary):
+    """A function of span text and locale: whether the span may be near some name, or has characters or a language of which nothing is known.
+
+    Lossless; None (every span may be) for a large dictionary, and for one with a pronouncing lexicon.
+    """
+    if dictionary.lexicon is not None or len(rows := dictionary.entries.select("pronunciation_forms", "normalized_aliases").limit(COMPARED + 1).collect()) > COMPARED:
+        return None
+    judge = bounds.hopeful([(list(r[0] or []), list(r[1] or [])) for r in rows], detect.HINT)
+
+    @F.arrow_udf(BooleanType())
+    def hopeful(spans: pa.Array, locales: pa.Array) -> pa.Array:
+        out = np.ones(len(spans), bool)
+        texts = spans.to_pylist()
+        folded = {x: re.match("[^-_]*", x).group().lower() in text.CASEFOLDED for x in locales.unique().to_pylist()}
+        plain = [i for i, (x, own) in enumerate(zip(texts, locales.to_pylist(), strict=True)) if folded[own] and bounds.PLAIN.fullmatch(x)]
+        if plain:
+            out[plain] = judge([texts[i] for i in plain])
+        return pa.array(out)
+
+    return hopeful
+
+
 def detected_spans(requests: DataFrame, dictionary: Dictionary, threshold: float = detect.SUSPECT, max_tokens: int = detect.MAX_TOKENS) -> DataFrame:
     """The suspicious, non-overlapping spans of each request with their evidence."""
-    rows = detect.disagreement(detect.described(detect.windows(requests, max_tokens)), requests)
+    near_names = hopeful_spans(dictionary)
+    rows = detect.disagreement(detect.described(detect.windows(requests, max_tokens, near_names is not None), near_names), requests)
     names = dictionary.aliases().select(F.col("alias").alias("exact_key")).distinct().withColumn("known", F.lit(True))
     rows = rows.join(F.broadcast(names) if retrieve.small(names) else names, "exact_key", "left").withColumn("exact", F.coalesce("known", F.lit(False))).drop("known")
     rows = stage(rows.withColumn("language", F.col("spoken.language")), "windows")

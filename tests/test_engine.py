@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from termweave.functions import bounds, phonetics
 from termweave.operators import benchmark, detect, retrieve
 from termweave.plans import evaluate, match
 from termweave.sources import audit, evaluation, terms
@@ -157,3 +158,36 @@ def test_stream(spark, dictionary, tmp_path):
     (tmp_path / "in" / "a.json").write_text('{"request_id": "r1", "text": "Start metforman tonight.", "locale": "en"}\n')
     match_stream(spark, str(tmp_path / "in"), dictionary, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
     assert "metformin" in audit.get_match(spark, str(tmp_path / "log"), "r1").first()["payload_json"]
+
+
+def _windows(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").limit(150).select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), "text", F.lit("en").alias("locale"))
+    odd = [("o1", "take met for men oral tablet, coumaden; glucofage - it's METFORMAN iv iv", "en-US"), ("o2", "метформин met formin 5 mg", "en"), ("o3", "xylo-met Straße ferr ous sul fate comp lete blud count", "de")]
+    return match.requests_of(turns.unionByName(spark.createDataFrame(odd, "request_id string, text string, locale string")))
+
+
+def test_windows_that_no_name_is_near_leave_first(spark, dictionary):
+    requests = _windows(spark)
+    hopeful = match.hopeful_spans(dictionary)
+    every = detect.described(detect.windows(requests))
+    left = detect.described(detect.windows(requests, heard=True), hopeful)
+    assert left.count() < every.count() / 10
+    keys = every.select("normalized", F.col("spoken.language").alias("language")).distinct()
+    near = match.worth_scoring(keys, dictionary)  # the former test, over all windows
+    needed = every.withColumn("language", F.col("spoken.language")).join(near, ["normalized", "language"]).select("request_id", "char_start", "char_end").distinct()
+    assert needed.count() > 5
+    assert needed.subtract(left.select("request_id", "char_start", "char_end")).count() == 0
+    mixed = every.where("mixed_script > 0").select("request_id", "char_start", "char_end")
+    assert mixed.count() and mixed.subtract(left.select("request_id", "char_start", "char_end")).count() == 0
+
+
+def test_plain_spans_read_as_columns_read_them(spark):
+    rows = detect.described(detect.windows(_windows(spark))).where(F.col("normalized") != "").select("span_text", "normalized", phonetics.spelled(F.col("normalized")).alias("sound")).distinct().collect()
+    plain = [r for r in rows if bounds.PLAIN.fullmatch(r["span_text"]) and bounds.plain_normalized(r["span_text"])]
+    assert len(plain) > 1000
+    assert all((bounds.plain_normalized(r["span_text"]), bounds.spelled(r["normalized"])) == (r["normalized"], r["sound"]) for r in plain)
+
+
+def test_evidence_keeps_windows(spark, dictionary):
+    requests = match.requests_of(spark.createDataFrame([("r1", "zzzzzz qqqqqq wwwwww", "en", [("zzzzzz", 0.2)])], "request_id string, text string, locale string, n_best array<struct<text string, confidence double>>"))
+    assert detect.described(detect.windows(requests, heard=True), match.hopeful_spans(dictionary)).count() == 6
