@@ -59,7 +59,8 @@ def normalize_term(col: Column, language: Column | str = "en") -> Column:
     return _spaced(F.regexp_replace(normalize_text(col, language), rf"[^{_W}\s'\-]", " "))
 
 
-_WORD = re.compile(r"\w(?:[\w'’-]*\w)?")
+#: A word as ``tokens`` finds it.
+WORD = re.compile(r"\w(?:[\w'’-]*\w)?")
 _TOKEN_TYPE = ArrayType(StructType([StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
@@ -68,7 +69,7 @@ def _tokens(col: pa.Array) -> pa.Array:
     sizes, words, starts, ends = [], [], [], []
     for text in col.to_pylist():
         before = len(words)
-        for m in _WORD.finditer(text or ""):
+        for m in WORD.finditer(text or ""):
             words.append(m.group())
             starts.append(m.start())
             ends.append(m.end())

@@ -29,22 +29,35 @@ def token_confidences(words: Column, heard: Column) -> Column:
     return F.when(F.coalesce(F.size(heard), F.lit(0)) <= 0, F.array().cast("array<double>")).when(placed, F.transform(words, over)).otherwise(by_place)
 
 
-def windows(requests: DataFrame, most: int = MAX_TOKENS, heard: bool = False) -> DataFrame:
+def _low_confidence(own: Column) -> Column:
+    """1 less the mean of a window's confidences, 0 at least and without any."""
+    return F.when(F.size(own) > 0, F.greatest(F.lit(0.0), 1.0 - F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.size(own))).otherwise(0.0)
+
+
+def windows(requests: DataFrame, most: int = MAX_TOKENS, heard: bool = False, hopeful=None) -> DataFrame:
     """A row for each run of 1 to ``most`` words of a request, with the evidence that the request itself holds; ``heard``: and whether it has other hypotheses.
 
-    Requests: request_id, text, locale, top_k, tokens, n_best.
+    Requests: request_id, text, locale, top_k, tokens, n_best. ``hopeful`` (a function of text and locale) says of all
+    runs, shorter ones first, which may be near a name; others without evidence by confidence or hypotheses are
+    never made. No Python function stands above the rows of windows: while one works, Spark holds its input rows,
+    which have their request's words, and beyond memory on disk.
     """
-    more = [(F.coalesce(F.size("n_best"), F.lit(0)) > 0).alias("heard")] if heard else []
-    read = requests.select("request_id", "text", "locale", "tokens", text.tokens(F.col("text")).alias("words"), *more)
-    read = read.withColumn("confidences", token_confidences(F.col("words"), F.col("tokens"))).where(F.size("words") > 0)
-    sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size("words")))
+    other = F.coalesce(F.size("n_best"), F.lit(0)) > 0
+    more = [other.alias("heard")] if heard else []
+    judged = [other.alias("_other"), hopeful(F.col("text"), F.coalesce("locale", F.lit(""))).alias("_near")] if hopeful is not None else []
+    read = requests.select("request_id", "text", "locale", "tokens", text.tokens(F.col("text")).alias("words"), *more, *judged)
+    read = read.withColumn("confidences", token_confidences(F.col("words"), F.col("tokens")))
+    # no filter by size: Spark would test it below the Python functions, which then run twice
+    sizes = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.least(F.lit(most), F.size("words")))).otherwise(F.array().cast("array<int>"))
     runs = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(i.alias("first"), n.alias("width")))))
+    if hopeful is not None:
+        own = lambda w: F.slice("confidences", w["first"] + 1, w["width"])
+        runs = F.filter(runs, lambda w, i: F.col("_other") | F.get("_near", i) | (_low_confidence(own(w)) >= 0.25))
     rows = read.select("*", F.explode(runs).alias("w")).drop("tokens")
     begin, end = F.get("words", F.col("w.first"))["start"], F.get("words", F.col("w.first") + F.col("w.width") - 1)["end"]
     rows = rows.select("request_id", "text", "locale", "w.first", "w.width", begin.alias("char_start"), end.alias("char_end"), F.slice("confidences", F.col("w.first") + 1, F.col("w.width")).alias("confidences"), *["heard"] * heard)
     span = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    low = F.when(F.size("confidences") > 0, F.greatest(F.lit(0.0), 1.0 - F.aggregate("confidences", F.lit(0.0), lambda s, x: s + x) / F.size("confidences"))).otherwise(0.0)
-    return rows.withColumn("span_text", span).withColumn("low_confidence", low).drop("text", "confidences")
+    return rows.withColumn("span_text", span).withColumn("low_confidence", _low_confidence(F.col("confidences"))).drop("text", "confidences")
 
 
 def described(rows: DataFrame, hopeful=None) -> DataFrame:
@@ -52,6 +65,7 @@ def described(rows: DataFrame, hopeful=None) -> DataFrame:
 
     ``hopeful`` (a function of span text and locale) names spans that may be near a name; others without evidence
     by confidence or hypotheses (rows then have ``heard``, whether there are any) are left out, before any work on them.
+    It is for windows that were made without such a function.
     """
     rows = rows.withColumn("_l", F.coalesce("locale", F.lit(""))).drop("locale")
     if hopeful is not None:

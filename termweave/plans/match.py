@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType
 
 from termweave.functions import bounds, phonetics, text
 from termweave.functions.ids import span_id
@@ -132,8 +132,8 @@ def worth_scoring(keys: DataFrame, dictionary: Dictionary) -> DataFrame:
 COMPARED = 1000
 
 
-def hopeful_spans(dictionary: Dictionary):
-    """A function of span text and locale: whether the span may be near some name, or has characters or a language of which nothing is known.
+def _near_some_name(dictionary: Dictionary):
+    """A function of spans and whether their languages are case-folded: which may be near some name, or have characters or a language of which nothing is known.
 
     Lossless; None (every span may be) for a large dictionary, and for one with a pronouncing lexicon.
     """
@@ -141,23 +141,64 @@ def hopeful_spans(dictionary: Dictionary):
         return None
     judge = bounds.hopeful([(list(r[0] or []), list(r[1] or [])) for r in rows], detect.HINT)
 
-    @F.arrow_udf(BooleanType())
-    def hopeful(spans: pa.Array, locales: pa.Array) -> pa.Array:
+    def near(spans: list[str], folded: list[bool]) -> np.ndarray:
         out = np.ones(len(spans), bool)
-        texts = spans.to_pylist()
-        folded = {x: re.match("[^-_]*", x).group().lower() in text.CASEFOLDED for x in locales.unique().to_pylist()}
-        plain = [i for i, (x, own) in enumerate(zip(texts, locales.to_pylist(), strict=True)) if folded[own] and bounds.PLAIN.fullmatch(x)]
+        plain = [i for i, (x, own) in enumerate(zip(spans, folded, strict=True)) if own and bounds.PLAIN.fullmatch(x)]
         if plain:
-            out[plain] = judge([texts[i] for i in plain])
-        return pa.array(out)
+            out[plain] = judge([spans[i] for i in plain])
+        return out
+
+    return near
+
+
+def _folded(locales: pa.Array) -> list[bool]:
+    own = {x: re.match("[^-_]*", x).group().lower() in text.CASEFOLDED for x in locales.unique().to_pylist()}
+    return [own[x] for x in locales.to_pylist()]
+
+
+def hopeful_spans(dictionary: Dictionary):
+    """``_near_some_name`` as a function of the columns span text and locale."""
+    if (near := _near_some_name(dictionary)) is None:
+        return None
+
+    @F.arrow_udf(BooleanType())
+    def hopeful(spans: pa.Array, locales: pa.Array) -> pa.Array:
+        return pa.array(near(spans.to_pylist(), _folded(locales)))
+
+    return hopeful
+
+
+#: Spans judged at once, about; a request's own are not parted.
+AT_ONCE = 20_000
+
+
+def hopeful_runs(dictionary: Dictionary, most: int):
+    """``_near_some_name`` as a function of the columns text and locale, for all runs of 1 to ``most`` words, shorter ones first."""
+    if (near := _near_some_name(dictionary)) is None:
+        return None
+
+    @F.arrow_udf(ArrayType(BooleanType()))
+    def hopeful(texts: pa.Array, locales: pa.Array) -> pa.Array:
+        flags, ends, spans, own = [], [0], [], []
+        for x, folded in zip(texts.to_pylist(), _folded(locales), strict=True):
+            words = [m.span() for m in text.WORD.finditer(x or "")]
+            before = len(spans)
+            for width in range(1, min(most, len(words)) + 1):
+                spans += [x[a[0] : b[1]] for a, b in zip(words, words[width - 1 :], strict=False)]
+            own += [folded] * (len(spans) - before)
+            ends.append(ends[-1] + len(spans) - before)
+            if len(spans) >= AT_ONCE:
+                flags.append(near(spans, own))
+                spans, own = [], []
+        flags.append(near(spans, own))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flags)))
 
     return hopeful
 
 
 def detected_spans(requests: DataFrame, dictionary: Dictionary, threshold: float = detect.SUSPECT, max_tokens: int = detect.MAX_TOKENS) -> DataFrame:
     """The suspicious, non-overlapping spans of each request with their evidence."""
-    near_names = hopeful_spans(dictionary)
-    rows = detect.disagreement(detect.described(detect.windows(requests, max_tokens, near_names is not None), near_names), requests)
+    rows = detect.disagreement(detect.described(detect.windows(requests, max_tokens, hopeful=hopeful_runs(dictionary, max_tokens))), requests)
     names = dictionary.aliases().select(F.col("alias").alias("exact_key")).distinct().withColumn("known", F.lit(True))
     rows = rows.join(F.broadcast(names) if retrieve.small(names) else names, "exact_key", "left").withColumn("exact", F.coalesce("known", F.lit(False))).drop("known")
     rows = stage(rows.withColumn("language", F.col("spoken.language")), "windows")

@@ -191,3 +191,35 @@ def test_plain_spans_read_as_columns_read_them(spark):
 def test_evidence_keeps_windows(spark, dictionary):
     requests = match.requests_of(spark.createDataFrame([("r1", "zzzzzz qqqqqq wwwwww", "en", [("zzzzzz", 0.2)])], "request_id string, text string, locale string, n_best array<struct<text string, confidence double>>"))
     assert detect.described(detect.windows(requests, heard=True), match.hopeful_spans(dictionary)).count() == 6
+
+
+def _odd_requests(spark):
+    plain = _windows(spark).select("request_id", "text", "locale").collect()
+    none = None
+    rows = [(*r, none, none) for r in plain] + [
+        ("e1", "", "en", none, none), ("e2", " ... ", "en", none, none), ("e3", "metforman", none, none, none), ("e4", "metforman-\n'glucofage'  (iv)\tfoo--bar ’", "en", none, none),
+        ("n1", "zzzzzz qqqqqq metforman", "en", [("zzzzzz", 0.2)], none), ("c1", "zzzzzz qqqqqq wwwwww kkkkkk", "en", none, [("zzzzzz", 0.2), ("qqqqqq", 1.0), ("wwwwww", none), ("kkkkkk", 0.9)]),
+    ]
+    heard = "array<struct<text string, confidence double>>"
+    given = spark.createDataFrame(rows, f"request_id string, text string, locale string, n_best {heard}, heard {heard}")
+    tokens = F.transform("heard", lambda t: F.struct(t["text"], F.lit(None).cast("int"), F.lit(None).cast("int"), t["confidence"], F.lit(None).cast("double"), F.lit(None).cast("double"))).cast(match.TOKENS)
+    return match.requests_of(given.withColumn("tokens", tokens))
+
+
+def test_windows_judged_by_request_are_those_judged_one_by_one(spark, dictionary):
+    requests = _odd_requests(spark)
+    for most in (1, 5):
+        one_by_one = detect.described(detect.windows(requests, most, True), match.hopeful_spans(dictionary))
+        judged = detect.described(detect.windows(requests, most, hopeful=match.hopeful_runs(dictionary, most)))
+        assert judged.columns == one_by_one.columns and judged.count() > 10
+        assert judged.exceptAll(one_by_one).count() == 0 and one_by_one.exceptAll(judged).count() == 0
+
+
+def test_no_python_above_the_rows_of_windows(spark, dictionary, monkeypatch):
+    """A Python function holds its input rows, on disk beyond memory; those of windows have all words of their request."""
+    plans = []
+    monkeypatch.setattr(detect, "stage", lambda df, name, f=detect.stage: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, name))
+    match.detected_spans(match.stage(_windows(spark), "requests"), dictionary)
+    lines = next(p for p in plans if "Generate" in p).splitlines()
+    python = [i for i, x in enumerate(lines) if "EvalPython" in x]
+    assert len(python) == 1 and python[0] > next(i for i, x in enumerate(lines) if "Generate" in x)
